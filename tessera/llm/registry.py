@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import near_dup
+from tessera.llm import near_dup, toxicity
 
-_MODULES = (near_dup,)
+_MODULES = (toxicity, near_dup)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

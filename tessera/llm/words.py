@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _RNG = np.random.default_rng(20250101)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("up")
     if have is None or len(have) < n + 1:
-        size = max(n + 1, CHUNK + 1)
+        size = max(n + 1, CHUNK + 1024)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
         up[0] = down[0] = 1
         _POWERS["up"], _POWERS["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -55,7 +55,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    prefix: np.ndarray | None = None
+    heads: tuple[np.ndarray, ...] = ()
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -77,7 +77,7 @@ def _mask(data: np.ndarray) -> np.ndarray:
 def _segments(mask: np.ndarray) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(mask)
     while lo < n:
-        hi = min(n, lo + 2 * CHUNK)
+        hi = min(n, lo + CHUNK)
         while hi < n and mask[hi - 1]:
             gap = np.flatnonzero(~mask[hi : hi + CHUNK])
             hi = hi + int(gap[0]) + 1 if len(gap) else min(n, hi + CHUNK)
@@ -85,8 +85,8 @@ def _segments(mask: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; with ``prefix``, also the hash of the first bytes."""
+def words(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; for each of ``prefixes`` also the hash of so many first bytes, 0 for words no longer than that."""
     data, offsets = data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
     mask = _mask(data)
     before = np.empty_like(mask)
@@ -99,7 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
         edge = offsets[1:][offsets[1:] > 0] - 1
         after[edge] = False
     start, end = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
-    hashes, heads = [], []
+    hashes, heads = [], [[] for _ in prefixes]
     for lo, hi in _segments(mask):
         a, b = np.searchsorted(start, (lo, hi))
         if a == b:
@@ -109,12 +109,14 @@ def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
         np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
         s, e = start[a:b] - lo, end[a:b] - lo
         hashes.append(mix((total[e] - total[s]) * down[s]))
-        if prefix:
-            heads.append(mix((total[np.minimum(e, s + prefix)] - total[s]) * down[s] + np.uint64(0x5851F42D4C957F2D)))
+        for k, length in enumerate(prefixes):
+            head = mix((total[np.minimum(e, s + length)] - total[s]) * down[s] + np.uint64(0x5851F42D4C957F2D))
+            head[e - s <= length] = 0
+            heads[k].append(head)
     none = np.empty(0, np.uint64)
     return Words(
         data, offsets, np.concatenate(hashes) if hashes else none, start, end, np.searchsorted(start, offsets).astype(np.int64),
-        (np.concatenate(heads) if heads else none) if prefix else None,
+        tuple(np.concatenate(h) if h else none for h in heads),
     )
 
 
@@ -139,7 +141,7 @@ def chunked(column: pa.Array, lower: bool = True, limit: int = CHUNK) -> Iterato
         lo = hi
 
 
-def words_of(texts: list[str], prefix: int = 0) -> Words:
+def words_of(texts: list[str], prefixes: tuple[int, ...] = ()) -> Words:
     """Words of a few texts at once, lower-cased."""
     column = pc.utf8_lower(pc.fill_null(pa.array(texts, pa.large_string()), ""))
-    return words(*buffers(column), prefix=prefix)
+    return words(*buffers(column), prefixes=prefixes)
