@@ -8,11 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch. Whole texts go to Python in batches of this size, so that a worker's memory doesn't depend on their length.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of ``sf_dir``, as a file or a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, which goes to Python in batches of at most ``BATCH_BYTES`` from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
