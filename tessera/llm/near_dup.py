@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import dropped, table, written
+from tessera.llm.tables import batched, dropped, table, written
 from tessera.llm.words import chunked, mix, words
 
 SIGNATURE = 64
@@ -73,7 +73,7 @@ def _sorted_sets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for lo, hi, data, offsets in chunked(batch.column(1), limit=1 << 19):
+        for lo, hi, data, offsets in chunked(batch.column(1)):
             w = words(data, offsets)
             h, first = shingles(w.hash, w.first)
             some = np.flatnonzero(np.diff(first))
@@ -352,7 +352,7 @@ def near_duplicate_groups(
     Only ids and 128-byte signatures are shuffled through the trees; sets of hashes move once
     more, for the pairs that signatures alone don't settle.
     """
-    docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
+    docs = batched(docs).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
     sigs = written(docs.mapInArrow(_signatures, "doc_id long, digest long, sig binary"), "signatures")
     reps = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "reps")
     pairs = written(candidates(reps.select(F.col("digest").alias("rep"), "sig"), threshold, trees, leaf, max_depth), "candidates")
