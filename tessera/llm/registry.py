@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, near_dup, toxicity
+from tessera.llm import decontaminate, near_dup, secrets, toxicity
 
-_MODULES = (toxicity, near_dup, decontaminate)
+_MODULES = (secrets, toxicity, near_dup, decontaminate)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -85,6 +85,21 @@ def _segments(mask: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes ``data[start[k]:end[k]]``; runs are in order and lie where ``inside`` holds."""
+    hashes = []
+    for lo, hi in _segments(inside):
+        a, b = np.searchsorted(start, (lo, hi))
+        if a == b:
+            continue
+        up, down = _powers(hi - lo)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        s, e = start[a:b] - lo, end[a:b] - lo
+        hashes.append(mix((total[e] - total[s]) * down[s]))
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; for each of ``prefixes`` also the hash of so many first bytes, 0 for words no longer than that."""
     data, offsets = data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)

@@ -1,0 +1,57 @@
+import itertools
+
+import numpy as np
+import pytest
+
+from tessera.llm import secrets as sc
+
+AKIA = "AKIA" + "Q7ZB3KXW5MPL2RTD"
+HEX = "9f3c0b7e5d1a48260f3b9c7d5e1a4826ab90cd34"
+
+
+def _found(texts):
+    t = sc._encode(texts)
+    owner, begin, end, _ = sc.spans(sc.train(), t)
+    return [(int(k), t.data[a:b].tobytes().decode()) for k, a, b in zip(owner, begin, end)]
+
+
+def test_held_out_lines():
+    texts, gold = sc.generated(400, 99)
+    want = {(k, x[a:b].rstrip(".")) for k, (x, g) in enumerate(zip(texts, gold)) for a, b in g}
+    found = set(_found(texts))
+    assert len(want & found) > 0.96 * len(want) and len(want & found) > 0.96 * len(found)
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        sizes = rng.integers(0, 6, 3)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        n = int(first[-1])
+        emit, move = rng.normal(0, 4, (n, 3)), rng.normal(0, 1.5, (3, 3))
+        field = sc.Field(emit, move)
+        tags = field.tags(sc.Tokens(None, np.arange(n), np.arange(n), first, np.arange(n)[:, None]))
+        for lo, hi in zip(first, first[1:]):
+            def value(path):
+                steps = [0, *path, 0]
+                return sum(emit[lo + k, y] for k, y in enumerate(path)) + (sum(move[a, b] for a, b in zip(steps, steps[1:])) if path else 0)
+            best = max(map(value, itertools.product(range(3), repeat=int(hi - lo))))
+            assert value(tuple(tags[lo:hi])) == pytest.approx(best)
+
+
+def test_contexts():
+    texts = [f'the token = "{HEX}" here', f"commit {HEX} here", "password=e3b3ed3cc8548923d6 and more", f"see {AKIA}. Then", "pay 4107636997782755 from 58.202.58.158 at +1 (607) 555-1595", "mail a.b7@mail3.example.com", f"Füße à {AKIA}"]
+    assert _found(texts) == [(0, HEX), (2, "e3b3ed3cc8548923d6"), (3, AKIA), (6, AKIA)]
+
+
+def test_edge_cases(spark):
+    long = "plain word " * 40000 + AKIA
+    rows = [(1, f"é {AKIA} x", "s", 0), (2, None, "s", 0), (3, "", "s", 0), (None, f"{AKIA}", "s", 0), (4, long, "s", len(long)), (5, "x" * 300000, "s", 0), (1, f"é {AKIA} x", "s", 0), (6, "nothing at all", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secret string, n_chars long")
+    found = sc.secrets(docs).collect()
+    assert sorted((r.doc_id or 0, r.begin, r.end, r.secret) for r in found) == [(0, 0, 20, AKIA), (1, 2, 22, AKIA), (1, 2, 22, AKIA), (4, 440000, 440020, AKIA)]
+    out = sc.redacted(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text, r.n_chars) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "é <SECRET> x", 12), (1, "é <SECRET> x", 12), (2, None, 0), (3, "", 0), (None, "<SECRET>", 8), (4, "plain word " * 40000 + "<SECRET>", 440008), (5, "x" * 300000, 0), (6, "nothing at all", 7)], key=str)
+    assert sc.secrets(docs.where("doc_id > 99")).count() == 0 and sc.redacted(docs.where("doc_id > 99")).count() == 0
