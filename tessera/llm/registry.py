@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, near_dup, packing, secrets, token_store, toxicity
+from tessera.llm import decontaminate, fingerprint, near_dup, packing, secrets, token_store, toxicity
 
-_MODULES = (secrets, toxicity, near_dup, token_store, packing, decontaminate)
+_MODULES = (secrets, toxicity, near_dup, token_store, fingerprint, packing, decontaminate)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
