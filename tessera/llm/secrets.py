@@ -113,20 +113,31 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         return out
 
     for k, hashes in enumerate((head, word, *((near(s) for s in (-1, -2, -3, 1)) if n else ()))):
-        table_.append(_HASHED + k * BUCKETS + (hashes >> np.uint64(48)).astype(np.int64))
+        table_.append((_HASHED + k * BUCKETS + (hashes >> np.uint64(48)).astype(np.int64)) | ((hashes & np.uint64(0xFFFF)).astype(np.int64) << 32))
     return Tokens(data, start, end, first, np.stack(table_, 1) if n else np.empty((0, 9), np.int64))
 
 
 @dataclass
 class Field:
-    """Weights of features by tag, and of a tag after another."""
+    """Weights of features by tag, and of a tag after another.
+
+    ``check`` has the further 16 bits of the hash that a bucket stands for, so that another word
+    in the bucket has no weight.
+    """
 
     emit: np.ndarray
     move: np.ndarray
+    check: np.ndarray | None = None
+
+    def score(self, features: np.ndarray) -> np.ndarray:
+        place = features & 0xFFFFFFFF
+        if self.check is None:
+            return self.emit[place].sum(1)
+        return self.emit[np.where(self.check[place] == features >> 32, place, SIZE)].sum(1)
 
     def tags(self, t: Tokens) -> np.ndarray:
         """The best tags of each text; before and after a text the tag counts as outside."""
-        score = self.emit[t.features].sum(1)
+        score = self.score(t.features)
         tags = np.zeros(len(score), np.int64)
         m = self.move
         gain = [max(m[a, y] + m[y, b] - m[a, O] - m[O, b] for a in range(3) for b in range(3)) for y in (B, I)]
@@ -299,7 +310,7 @@ def train(n: int = 1500, seed: int = 11, steps: int = 120, ridge: float = 1e-5)
     live = [int((size > s).sum()) for s in range(width)]  # texts, longest first, that have a token at s
     at = [t.first[:-1][order[: live[s]]] + s for s in range(width)]
     w, move = np.zeros((len(used), 3)), np.zeros((3, 3))
-    rare = ((often < LEAST) & (used >= _HASHED))[:, None]
+    rare = ((often < LEAST) & ((used & 0xFFFFFFFF) >= _HASHED))[:, None]
     m, v = np.zeros(w.size + 9), np.zeros(w.size + 9)
     truth = np.zeros((len(gold), 3))
     truth[np.arange(len(gold)), gold] = 1
@@ -335,9 +346,10 @@ def train(n: int = 1500, seed: int = 11, steps: int = 120, ridge: float = 1e-5)
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         delta = 0.12 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-7) * min(1.0, 2 * (1 - step / (steps + 1)))
         w, move = w - np.where(rare, 0, delta[: w.size].reshape(w.shape)), move - delta[w.size :].reshape(3, 3)
-    emit = np.zeros((SIZE, 3), np.float32)
-    emit[used] = w
-    return Field(emit, move)
+    emit, check = np.zeros((SIZE + 1, 3), np.float32), np.full(SIZE, -1, np.int32)
+    by = np.argsort(often, kind="stable")  # of several in a bucket the most frequent stays
+    emit[used[by] & 0xFFFFFFFF], check[used[by] & 0xFFFFFFFF] = w[by], used[by] >> 32
+    return Field(emit, move, check)
 
 
 def spans(field: Field, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
