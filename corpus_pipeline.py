@@ -1,22 +1,48 @@
 """Cleaning of a document table for training, stage by stage.
 
-Every stage works on all that its predecessor kept, is written as Parquet and read again.
+Every stage works on all that its predecessor kept; its result is written as Parquet and read again
+as the documents of the next. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import without_contained
 from tessera.llm.near_dup import without_near_duplicates
+from tessera.llm.packing import packed
+from tessera.llm.secrets import redacted
 from tessera.llm.tables import table, written
+from tessera.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier of the labelled ones rejects go; all others stay as they are."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """Of each group of near copies the document of the least id stays."""
     return without_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    return without_contained(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with a mask in place of each secret and ``n_chars`` of the new text."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens as sequences of power-of-two length."""
+    return packed(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan), ("packing", packing)]
+#: The classifier, the tree join, the tiling, the random field and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
