@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import batched, dropped, table, written
+from tessera.llm.tables import batched, dropped, few, table, written
 from tessera.llm.words import chunked, mix, words
 
 SIGNATURE = 64
@@ -358,9 +358,9 @@ def near_duplicate_groups(
     pairs = written(candidates(reps.select(F.col("digest").alias("rep"), "sig"), threshold, trees, leaf, max_depth), "candidates")
     sure = (threshold + SLACK) * SIGNATURE
     doubt = pairs.where(F.col("same") < sure)
-    wanted = reps.select("digest", "doc_id").join(doubt.select(F.col("a").alias("digest")).union(doubt.select("b")).distinct(), "digest", "left_semi")
+    wanted = written(reps.select("digest", "doc_id").join(doubt.select(F.col("a").alias("digest")).union(doubt.select("b")).distinct(), "digest", "left_semi"), "wanted")
     # several rows may share an id, so that the digest decides which of their sets is meant
-    found = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "digest long, members binary")
+    found = docs.join(few(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "digest long, members binary")
     members = written(found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "members")
     side = [members.select(F.col("digest").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
     checked = doubt.join(side[0], "a").join(side[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(_jaccard(threshold), "a long, b long")
@@ -377,11 +377,13 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     Rows with a null id or without a word stay as they are.
     """
     groups = near_duplicate_groups(docs, text, key, **settings)
-    gone = groups.select(F.explode(F.slice("doc_ids", 2, F.greatest(F.size("doc_ids") - 1, F.lit(0)))).alias(key)).distinct()
-    kept = docs.join(gone, key, "left_anti")
+    gone = written(groups.select(F.explode(F.slice("doc_ids", 2, F.greatest(F.size("doc_ids") - 1, F.lit(0)))).alias(key)).distinct(), "gone")
     # only rows whose id repeats are compared as wholes
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    once, several = kept.join(repeated, key, "left_anti"), kept.join(repeated, key, "left_semi")
+    repeated = written(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    kept = docs.join(few(gone), key, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    once, several = kept.join(few(repeated), key, "left_anti"), kept.join(few(repeated), key, "left_semi")
     return once.unionByName(several.dropDuplicates()).select(docs.columns)
 
 
