@@ -21,7 +21,7 @@ marked first.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,23 +114,25 @@ def item_seeds(benchmark: DataFrame, match: int = MATCH, text: str = "text", key
     return batched(first).mapInArrow(_seeds(match), "item_id long, seed long, i long, size long, n long")
 
 
-def _pairs_by_lookup(docs: DataFrame, seeds: pa.Table, threshold: float) -> DataFrame:
+def _lookup(spark: SparkSession, seeds: pa.Table, threshold: float) -> Callable[[], Callable[[pa.Array], list[tuple[int, int, float, int, int]]]]:
+    """What a worker starts to get a function from a column of texts to (row, item, coverage, tiles, longest) of the items in them."""
     seed = seeds.column("seed").to_numpy().view(np.uint64)
     order = np.argsort(seed, kind="stable")
     seed = seed[order]
     item, place, size, n_of = (seeds.column(c).to_numpy()[order] for c in ("item_id", "i", "size", "n"))
     lengths = [int(n) for n in np.unique(n_of)]
-    handle = docs.sparkSession.sparkContext.broadcast((seed, item, place, size, n_of))
+    handle = spark.sparkContext.broadcast((seed, item, place, size, n_of))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable:
         seed, item, place, size, n_of = handle.value
         bits = max(16, int(len(seed)).bit_length() + 4)
         there = np.zeros(1 << bits, bool)
         there[(seed >> np.uint64(64 - bits)).astype(np.int64)] = True
-        for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column(1)):
+
+        def look(texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
+            rows = []
+            for lo, _, data, offsets in chunked(texts):
                 w = words(data, offsets)
-                rows = []
                 for n in lengths:
                     at, hashes = runs(w.hash, w.first, n)
                     maybe = there[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
@@ -150,9 +152,22 @@ def _pairs_by_lookup(docs: DataFrame, seeds: pa.Table, threshold: float) -> Data
                         k = which[a]
                         if n_of[k] == n and (found := _judged(place[which[a:b]], at[a:b] - w.first[owner[a]], n, int(size[k]), threshold)):
                             rows.append((lo + int(owner[a]), int(item[k]), *found))
-                if rows:
-                    doc, *rest = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.float64()), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], ["doc_id", "item_id", "coverage", "tiles", "longest"])
+            return rows
+
+        return look
+
+    return start
+
+
+def _pairs_by_lookup(docs: DataFrame, seeds: pa.Table, threshold: float) -> DataFrame:
+    start = _lookup(docs.sparkSession, seeds, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = start()
+        for batch in batches:
+            if rows := look(batch.column(1)):
+                doc, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.float64()), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], ["doc_id", "item_id", "coverage", "tiles", "longest"])
 
     return docs.mapInArrow(run, _PAIR)
 
@@ -204,9 +219,26 @@ def contained_items(
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", (-F.col("best.col2")).alias("tiles"), "best.longest")
 
 
-def without_contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """The rows whose id contains no test item; rows with a null id stay."""
-    return docs.join(contained_items(docs, benchmark, text, key, **settings).select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
+def without_contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", match: int = MATCH, threshold: float = THRESHOLD, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """The rows whose text contains no test item, in one pass and without a join.
+
+    Where the benchmark is too large to broadcast, rows go by their id: those that share one with a
+    row that contains an item go with it, and rows with a null id stay.
+    """
+    held = item_seeds(benchmark, match).limit(broadcast_seeds + 1).toArrow()
+    if held.num_rows > broadcast_seeds:
+        gone = contained_items(docs, benchmark, text, key, match, threshold, broadcast_seeds).select(F.col("doc_id").alias(key)).distinct()
+        return docs.join(gone, key, "left_anti").select(docs.columns)
+    start, place = _lookup(docs.sparkSession, held, threshold), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = start()
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in look(batch.column(place))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,18 @@
-"""Reading tables, and cutting lineage with tables in the cluster's shared folder."""
+"""What the operators share in reading tables and in sending them to Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.sources.tables import dropped, shared_dir, table, written
 
+__all__ = ["BATCH_BYTES", "BROADCAST_IDS", "batched", "dropped", "few", "shared_dir", "table", "written"]
 
 #: Bytes of an Arrow batch. Whole texts go to Python in batches of this size, so that a worker's memory doesn't depend on their length.
 BATCH_BYTES = 4 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table of ``sf_dir``, as a file or a folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Up to so many ids (8 bytes each) go to every executor.
+BROADCAST_IDS = 2_000_000
 
 
 def batched(df: DataFrame) -> DataFrame:
@@ -23,28 +21,6 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under the shared folder and read back; survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.tessera_path = path
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.tessera_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def few(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids, to be broadcast in a join if it has at most ``limit`` rows; beyond that the join shuffles."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
