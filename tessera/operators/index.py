@@ -6,6 +6,7 @@ All tables are plans until ``saved`` writes them.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,12 +84,13 @@ class SearchIndex:
         return items.withColumn("_id", doc_id(_column(self.text), _column(self.key))).join(found, "_id", "left_semi").drop("_id")
 
     def saved(self, path: str) -> SearchIndex:
-        """Written as Parquet and read back: postings in the order of tokens, vectors in that of features, so that lookups skip row groups."""
+        """Written as Parquet and read back, postings in the order of tokens, so that lookups skip row groups."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         done = replace(self, docs=spark.read.parquet(f"{path}/docs"))
-        postings_of(done.docs).repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-        vectors(done.vocabulary, self.config).write.mode("overwrite").parquet(f"{path}/vectors")
+        tables = {"postings": postings_of(done.docs).repartition("token").sortWithinPartitions("token"), "vectors": vectors(done.vocabulary, self.config)}
+        with ThreadPoolExecutor(len(tables)) as pool:  # neither needs the other
+            list(pool.map(lambda name: tables[name].write.mode("overwrite").parquet(f"{path}/{name}"), tables))
         return replace(done, postings_table=spark.read.parquet(f"{path}/postings"), vectors_table=spark.read.parquet(f"{path}/vectors"))
 
 

@@ -18,6 +18,7 @@ from tessera.config import SearchConfig
 from tessera.functions.features import vectors
 from tessera.functions.text import query_tokens
 from tessera.operators.index import SearchIndex
+from tessera.sources.tables import written
 
 #: Up to so many distinct query tokens are sent to every executor (some 50 features each); more meet the vocabulary in a shuffled join.
 BROADCAST_TOKENS = 20_000
@@ -119,10 +120,14 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def find(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, rank, doc_id, tokens, score) for all ``queries(query_id, query)``; see the module."""
+    """(query_id, rank, doc_id, tokens, score) for all ``queries(query_id, query)``; see the module.
+
+    Cosines and candidates are written to the shared folder once: several later steps read them,
+    and a lost executor doesn't lose them.
+    """
     terms = query_terms(queries, index.config)
-    cosines = token_cosines(index, terms)
-    ranges = candidate_ranges(index, terms, best_tokens(index, terms, cosines))
+    cosines = written(token_cosines(index, terms), "cosines")
+    ranges = written(candidate_ranges(index, terms, best_tokens(index, terms, cosines)), "candidates")
     docs, scored = scored_tokens(index, terms, cosines, ranges)
     return ranked(scores(docs, best_matches(docs, scored), terms, index.config), index.config.max_results)
 

@@ -188,7 +188,7 @@ def find_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def find_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents: long token lists, many positions and the penalty of length."""
-    index = build(table(spark, sf_dir, "documents"), "text", "doc_id")
+    index = build(table(spark, sf_dir, "documents"), "text", "doc_id").saved(fresh_path(spark, "index"))
     found = find(index, asked(spark, {"en": "th the oution", "de": "der einung", "typo": "licnsed unter", "one": "worthles"}))
     return found.select("query_id", "rank", key_of(F.col("doc_id")).alias("key"), "score")
 

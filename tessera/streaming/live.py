@@ -92,6 +92,12 @@ class LiveIndex:
         return rows.join(F.broadcast(latest), "batch").drop("batch")
 
 
+def loaded(query: StreamingQuery, expected: int | None = None) -> tuple[int, float | None]:
+    """Rows that a running load has taken in so far (of the progress reports that Spark keeps), and their share of the expected ones."""
+    rows = sum(p.numInputRows for p in query.recentProgress)
+    return rows, min(1.0, rows / expected) if expected else None
+
+
 def search_stream(index: SearchIndex, stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Answers a stream of queries ``(query_id, query)`` from an index that stays as it is; of a query id's texts in a batch the last counts."""
 
