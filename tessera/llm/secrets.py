@@ -321,7 +321,7 @@ def train(n: int = 1500, seed: int = 11, steps: int = 120, ridge: float = 1e-5)
     np.add.at(seen, (gold[t.first[1:] - 1], np.zeros(n, np.int64)), 1)
     flat = local.ravel()
     for step in range(1, steps + 1):
-        score = w[local].sum(1)
+        score = sum(w[local[:, k]] for k in range(local.shape[1]))
         em, ex = np.exp(move), np.exp(score - score.max(1, keepdims=True))
         alpha, beta, scale = np.zeros_like(ex), np.zeros_like(ex), np.ones(len(ex))
         for s in range(width):

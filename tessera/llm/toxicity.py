@@ -102,19 +102,27 @@ class Model:
 
 def _select(chunks: list[tuple[Words, np.ndarray]], features: int) -> np.ndarray:
     """Features that hold for toxic documents far more often than for others, by the likelihood ratio."""
-    counts: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    total = {k: max(1, sum(int((y == k).sum()) for _, y in chunks)) for k in counts}
-    for w, y in chunks:
-        owner, key = _distinct(*_keys(w))
-        for k in counts:
-            counts[k].append(key[y[owner] == k])
-    toxic, n = np.unique(np.concatenate(counts[True]), return_counts=True)
+    total = {k: max(1, sum(int((y == k).sum()) for _, y in chunks)) for k in (True, False)}
+
+    def counted(label: bool, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.empty(0, np.uint64)]
+        for w, y in chunks:
+            owner, key = _keys(w)
+            some = y[owner] == label
+            owner, key = owner[some], key[some]
+            if among is not None:
+                some = np.isin(key, among)
+                owner, key = owner[some], key[some]
+            found.append(_distinct(owner, key)[1])
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    toxic, n = counted(True, None)
     toxic, n = toxic[n >= MIN_TOXIC], n[n >= MIN_TOXIC]
-    other, m = np.unique(np.concatenate(counts[False]), return_counts=True)
     if not len(toxic):
         return toxic
-    at = np.minimum(np.searchsorted(other, toxic), max(len(other) - 1, 0))
-    m = np.where(other[at] == toxic, m[at], 0) if len(other) else np.zeros(len(toxic))
+    other, times = counted(False, toxic)
+    m = np.zeros(len(toxic), np.int64)
+    m[np.searchsorted(toxic, other)] = times
     p, q = (n + 0.5) / (total[True] + 1), (m + 0.5) / (total[False] + 1)
     gain = 2 * (n * np.log(p / q) + (total[True] - n) * np.log((1 - np.minimum(p, 1 - 1e-9)) / (1 - np.minimum(q, 1 - 1e-9))))
     good = np.flatnonzero((p > 2 * q) & (gain > 8))
@@ -132,14 +140,16 @@ def _swaps(identity: tuple[tuple[str, ...], ...]) -> dict[int, list[tuple[list[i
     return swaps
 
 
-def train(texts: list[str], toxic: list[int], penalty: float = PENALTY, identity: tuple[tuple[str, ...], ...] = IDENTITY, features: int = FEATURES, steps: int = 400) -> Model:
+def train(texts: list[str] | pa.Array, toxic: list[int], penalty: float = PENALTY, identity: tuple[tuple[str, ...], ...] = IDENTITY, features: int = FEATURES, steps: int = 400) -> Model:
     """The classifier of labelled texts; without both labels, one that finds nothing."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model()
-    chunks, column = [], pa.array(texts, pa.large_string())
-    for lo, hi, data, offsets in chunked(column):
-        chunks.append((words(data, offsets, PREFIXES), y[lo:hi]))
+    chunks = []
+    for lo, hi, data, offsets in chunked(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+        w = words(data, offsets, PREFIXES)
+        w.data = w.start = w.end = np.empty(0)  # only hashes are needed from here on
+        chunks.append((w, y[lo:hi]))
     swaps = _swaps(identity)
     named = np.array(sorted(swaps), np.uint64)
     mentions = [named[k] for w, _ in chunks for k in np.flatnonzero(np.isin(named, w.hash))]
@@ -189,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     first = texts.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
     so_far = F.sum(F.octet_length("_text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     rows = first.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < sample_bytes).orderBy(*order).select("_toxic", "_text").toArrow()
-    return train(rows.column(1).to_pylist(), rows.column(0).to_pylist(), **settings)
+    return train(rows.column(1).combine_chunks().cast(pa.large_string()) if rows.num_rows else [], rows.column(0).to_pylist(), **settings)
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
