@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from tessera.config import SearchConfig
 from tessera.functions.features import vectors
+from tessera.functions.matching import vector
 from tessera.functions.text import query_tokens
 from tessera.operators.index import SearchIndex
 from tessera.sources.tables import written
 
 #: Up to so many distinct query tokens are sent to every executor (some 50 features each); more meet the vocabulary in a shuffled join.
 BROADCAST_TOKENS = 20_000
+#: The vectors of so few are computed in the driver, which saves their plan and two stages.
+DRIVER_TOKENS = 500
 
 
 def query_terms(queries: DataFrame, config: SearchConfig) -> DataFrame:
@@ -33,8 +36,13 @@ def query_terms(queries: DataFrame, config: SearchConfig) -> DataFrame:
 def token_cosines(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """(qtoken, token, cos) of every vocabulary token that shares a feature with a query token."""
     distinct = terms.select(F.col("qtoken").alias("token")).distinct()
-    query = vectors(distinct, index.config).select(F.col("token").alias("qtoken"), "feature", F.col("w").alias("qw"))
-    if distinct.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+    n = distinct.limit(BROADCAST_TOKENS + 1).count()
+    if n <= DRIVER_TOKENS:
+        rows = [(r.token, f, w) for r in distinct.collect() for f, w in vector(r.token, index.config).items()]
+        query = terms.sparkSession.createDataFrame(rows, "qtoken string, feature string, qw double")
+    else:
+        query = vectors(distinct, index.config).select(F.col("token").alias("qtoken"), "feature", F.col("w").alias("qw"))
+    if n <= BROADCAST_TOKENS:
         query = F.broadcast(query)
     joined = index.vectors.join(query, "feature")
     return joined.groupBy("qtoken", "token").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cos"))
