@@ -11,6 +11,10 @@ branch on. At ``max_depth`` any node is compared exhaustively, whatever its size
 signatures agree well enough are verified by the exact Jaccard similarity of the sets, and the
 groups are the connected components of verified pairs.
 
+Rows of a node whose signatures agree so well that they are nearly sure to match are a *bundle*,
+of which only a spanning forest (or the pairs with the leader) is verified at first. Where one of
+these pairs fails, all pairs of the bundle between different components are verified too.
+
 Defined results: rows with null ``doc_id``, null texts and texts without a word are in no group;
 repeated rows and ties count as copies; a group's id is its smallest ``doc_id``; an empty table
 has no groups; other columns are not read. Where rows with different texts share a ``doc_id``,
@@ -35,7 +39,7 @@ THRESHOLD = 0.6
 TREES = 4
 LEAF = 96
 MAX_DEPTH = 12
-#: Signatures estimate the similarity; pairs below the threshold by more than this are dropped, those above it by as much are sure.
+#: Signatures estimate the similarity; pairs below the threshold by more than this are dropped, those above it by as much are sure enough to stand for others in a bundle.
 SLACK = 0.16
 #: A leader's sure neighbours can only match members that agree with the leader at least so far (triangle inequality, less the estimate's error).
 SHELL = 0.2
@@ -124,10 +128,11 @@ def _roots(trees: int):
 
 
 def _compare(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreement) of the rows within each run of equal ``node`` that may match; all pairs are looked at.
+    """(i, j, bundle) of the rows within each run of equal ``node`` that may match; all pairs are looked at.
 
     Once sure pairs link two rows, other pairs between the same linked rows are left out: they
-    can't change a group.
+    can't change a group, unless one of the pairs kept turns out false. ``bundle`` is the least of
+    the linked rows, and -1 for pairs that aren't sure.
     """
     n = len(node)
     left, right, same = [], [], []
@@ -161,9 +166,9 @@ def _compare(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.nd
     # of the sure pairs a spanning forest is enough
     tree_i, tree_j = i[sure], j[sure]
     order = np.lexsort((tree_i, tree_j))
-    tree_i, tree_j, agreed = tree_i[order], tree_j[order], agree[sure][order]
+    tree_i, tree_j = tree_i[order], tree_j[order]
     keep = _forest(tree_i, tree_j, n)
-    return np.concatenate([tree_i[keep], i[apart]]), np.concatenate([tree_j[keep], j[apart]]), np.concatenate([agreed[keep], agree[apart]])
+    return np.concatenate([tree_i[keep], i[apart]]), np.concatenate([tree_j[keep], j[apart]]), np.concatenate([label[tree_i[keep]], np.full(int(apart.sum()), -1)])
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -186,7 +191,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _clusters(sig: np.ndarray, leaf: int, threshold: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """Takes dense clusters out of a large node. Returns their pairs, and the rows that stay."""
+    """Takes dense clusters out of a large node. Returns their pairs (i, j, bundle), and the rows that stay."""
     stay, pairs = np.arange(len(sig)), []
     tried = 0
     while len(stay) > leaf and tried < 4:
@@ -197,25 +202,46 @@ def _clusters(sig: np.ndarray, leaf: int, threshold: float) -> tuple[list[tuple[
             tried += 1
             continue
         core, shell = stay[sure & (stay != lead)], stay[~sure & (agree >= SHELL * SIGNATURE)]
-        pairs.append((np.full(len(core), lead), core, agree[sure & (stay != lead)]))
+        pairs.append((np.full(len(core), lead), core, np.full(len(core), lead)))
         for x in np.append(core, lead):
             near = (sig[shell] == sig[x]).sum(1)
             hit = near >= (threshold - SLACK) * SIGNATURE
-            pairs.append((np.full(int(hit.sum()), x), shell[hit], near[hit]))
+            pairs.append((np.full(int(hit.sum()), x), shell[hit], np.full(int(hit.sum()), -1)))
         stay, tried = stay[~sure], 0
     return pairs, stay
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of ``batches``, which are sorted by their first column, in tables that end where its value does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        ends = batch.column(0)
+        if ends[0].as_py() == ends[len(ends) - 1].as_py():
+            continue  # the node goes on
+        whole = pa.Table.from_batches(held).combine_chunks()
+        node = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(node, node[-1]))
+        held = whole.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield whole.slice(0, cut).combine_chunks()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _level(leaf: int, threshold: float, last: bool):
-    """Rows sorted by node become pairs (``a``, ``b``, ``same``) and, from large nodes, rows of the children."""
+    """Rows sorted by node become pairs (``a``, ``b``, ``bundle``) and, from large nodes, rows of the children."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rep: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+        def pairs(node: np.ndarray, rep: np.ndarray, i: np.ndarray, j: np.ndarray, bundle: np.ndarray) -> pa.RecordBatch:
             a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-            keep = np.unique(np.stack([a, b], 1), axis=0, return_index=True)[1] if len(a) else np.empty(0, np.int64)
+            name = mix(node[bundle] ^ mix(rep[bundle].view(np.uint64))).view(np.int64)
+            keep = np.unique(np.stack([a, b, np.where(bundle < 0, 0, name)], 1), axis=0, return_index=True)[1] if len(a) else np.empty(0, np.int64)
             keep = keep[a[keep] != b[keep]]
             n = len(keep)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(a[keep]), pa.array(b[keep]), pa.array(agree[keep].astype(np.int32))], NAMES)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(a[keep]), pa.array(b[keep]), pa.array(name[keep], mask=bundle[keep] < 0)], NAMES)
 
         def work(node: np.ndarray, rep: np.ndarray, raw: pa.Array) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
@@ -223,9 +249,9 @@ def _level(leaf: int, threshold: float, last: bool):
             sized = np.repeat(size, size)
             small = np.flatnonzero((sized > 1) & ((sized <= leaf) | last))
             if len(small):
-                i, j, agree = _compare(node[small], _matrix(raw.take(pa.array(small))), threshold)
+                i, j, bundle = _compare(node[small], _matrix(raw.take(pa.array(small))), threshold)
                 if len(i):
-                    yield pairs(rep[small], i, j, agree)
+                    yield pairs(node[small], rep[small], i, j, bundle)
             if last:
                 return
             for k in np.flatnonzero(size > leaf):
@@ -233,49 +259,35 @@ def _level(leaf: int, threshold: float, last: bool):
                 sig = _matrix(raw.slice(at[k], size[k]))
                 found, stay = _clusters(sig, leaf, threshold)
                 if found:
-                    yield pairs(rep[rows], *(np.concatenate([f[c] for f in found]) for c in range(3)))
+                    yield pairs(node[rows], rep[rows], *(np.concatenate([f[c] for f in found]) for c in range(3)))
                 which, child = _children(node[rows][stay], sig[stay])
                 for lo in range(0, len(which), 20000):
                     take = rows[stay[which[lo : lo + 20000]]]
                     n = len(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(child[lo : lo + 20000].view(np.int64)), pa.array(rep[take]), raw.take(pa.array(take)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(child[lo : lo + 20000].view(np.int64)), pa.array(rep[take]), raw.take(pa.array(take)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], NAMES)
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            ends = batch.column(0)
-            if ends[0].as_py() == ends[len(ends) - 1].as_py():
-                continue  # the node goes on
-            whole = pa.Table.from_batches(held).combine_chunks()
-            node = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(node, node[-1]))
-            done = whole.slice(0, cut).combine_chunks()
-            held = whole.slice(cut).combine_chunks().to_batches()
-            yield from work(node[:cut].view(np.uint64), done.column(1).to_numpy(), done.column(2).combine_chunks() if cut else pa.nulls(0, pa.binary()))
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
+        for whole in _whole(batches):
             yield from work(whole.column(0).to_numpy().view(np.uint64), whole.column(1).to_numpy(), whole.column(2).combine_chunks())
 
     return step
 
 
-NAMES = ["node", "rep", "sig", "a", "b", "same"]
-_LEVEL = "node long, rep long, sig binary, a long, b long, same int"
+NAMES = ["node", "rep", "sig", "a", "b", "bundle"]
+_LEVEL = "node long, rep long, sig binary, a long, b long, bundle long"
 
 
 def _by_node(df: DataFrame) -> DataFrame:
-    return df.repartition("node").sortWithinPartitions("node")
+    # in order of the representatives too, so that trees that find the same rows choose the same forest
+    return df.repartition("node").sortWithinPartitions("node", "rep")
 
 
 def candidates(reps: DataFrame, threshold: float, trees: int, leaf: int, max_depth: int) -> DataFrame:
-    """Distinct pairs (a, b, same) that a chosen path brings together; ``same`` is the number of equal minwise tokens."""
+    """Distinct pairs (a, b, bundle) that a chosen path brings together; ``bundle`` is null for pairs that stand for no others."""
     level = reps.select("rep", "sig").mapInArrow(_roots(trees), "node long, rep long, sig binary")
     found, at = None, None
     for depth in range(max_depth):
         out = written(_by_node(level).mapInArrow(_level(leaf, threshold, depth == max_depth - 1), _LEVEL), f"level{depth}")
-        pairs = written(out.where("a is not null").groupBy("a", "b").agg(F.max("same").alias("same")), f"pairs{depth}")
+        pairs = written(out.where("a is not null").select("a", "b", "bundle").distinct(), f"pairs{depth}")
         found = pairs if found is None else found.unionByName(pairs)
         level = out.where("node is not null").select("node", "rep", "sig")
         if at is not None:
@@ -285,7 +297,40 @@ def candidates(reps: DataFrame, threshold: float, trees: int, leaf: int, max_dep
             break
     if at is not None:
         dropped(at)
-    return found.groupBy("a", "b").agg(F.max("same").alias("same"))
+    return found.distinct()
+
+
+def _apart(threshold: float):
+    """Rows (bundle, rep, part, sig), sorted by bundle, become the pairs (a, b) of different parts that may match."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole(batches):
+            bundle, rep, part = (whole.column(c).to_numpy() for c in range(3))
+            sig, alive = _matrix(whole.column(3).combine_chunks()), np.arange(len(bundle))
+            for step in range(1, len(bundle)):
+                alive = alive[alive + step < len(bundle)]
+                alive = alive[bundle[alive] == bundle[alive + step]]
+                if not len(alive):
+                    break
+                for at in range(0, len(alive), 1 << 16):
+                    i = alive[at : at + (1 << 16)]
+                    i = i[part[i] != part[i + step]]
+                    i = i[(sig[i] == sig[i + step]).sum(1) >= (threshold - SLACK) * SIGNATURE]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[i + step])), pa.array(np.maximum(rep[i], rep[i + step]))], ["a", "b"])
+
+    return step
+
+
+def left_out(pairs: DataFrame, checked: DataFrame, roots: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of bundles with a pair that isn't among the ``checked`` ones, as far as they aren't of one component already."""
+    bundled = pairs.where("bundle is not null")
+    broken = bundled.join(checked, ["a", "b"], "left_anti").select("bundle").distinct()
+    inside = bundled.join(broken, "bundle", "left_semi")
+    inside = inside.select("bundle", F.col("a").alias("rep")).unionByName(inside.select("bundle", F.col("b").alias("rep"))).distinct()
+    parts = inside.join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left").select("bundle", "rep", F.coalesce("root", "rep").alias("part"))
+    rows = parts.join(reps.select(F.col("digest").alias("rep"), "sig"), "rep").select("bundle", "rep", "part", "sig")
+    return rows.repartition("bundle").sortWithinPartitions("bundle", "rep").mapInArrow(_apart(threshold), "a long, b long").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,27 +389,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the Jaccard similarity of the threshold."""
+    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    wanted = written(reps.select("digest", "doc_id").join(ends, "digest", "left_semi"), "wanted")
+    # several rows may share an id, so that the digest decides which of their sets is meant
+    found = docs.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sets, "digest long, members binary")
+    members = written(found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "members")
+    side = [members.select(F.col("digest").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
+    checked = written(pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(_jaccard(threshold), "a long, b long"), "checked")
+    dropped(members)
+    return checked
+
+
 def near_duplicate_groups(
     docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH
 ) -> DataFrame:
     """(group_id, n_docs, doc_ids) of each group of near copies; see the module for what counts.
 
     Only ids and 128-byte signatures are shuffled through the trees; sets of hashes move once
-    more, for the pairs that signatures alone don't settle.
+    more, for the pairs to verify.
     """
     docs = batched(docs).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
     sigs = written(docs.mapInArrow(_signatures, "doc_id long, digest long, sig binary"), "signatures")
     reps = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "reps")
     pairs = written(candidates(reps.select(F.col("digest").alias("rep"), "sig"), threshold, trees, leaf, max_depth), "candidates")
-    sure = (threshold + SLACK) * SIGNATURE
-    doubt = pairs.where(F.col("same") < sure)
-    wanted = written(reps.select("digest", "doc_id").join(doubt.select(F.col("a").alias("digest")).union(doubt.select("b")).distinct(), "digest", "left_semi"), "wanted")
-    # several rows may share an id, so that the digest decides which of their sets is meant
-    found = docs.join(few(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "digest long, members binary")
-    members = written(found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "members")
-    side = [members.select(F.col("digest").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
-    checked = doubt.join(side[0], "a").join(side[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(_jaccard(threshold), "a long, b long")
-    roots = components(checked.unionByName(pairs.where(F.col("same") >= sure).select("a", "b")))
+    checked = _verified(docs, reps, pairs.select("a", "b").distinct(), threshold)
+    roots = components(checked)
+    more = written(left_out(pairs, checked, roots, reps, threshold), "left_out")
+    if not more.isEmpty():
+        roots = components(checked.unionByName(_verified(docs, reps, more, threshold)))
     linked = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "digest")
     grouped = reps.select("digest", "n").join(linked, "digest", "left").where("root is not null or n > 1").select("digest", F.coalesce("root", "digest").alias("root"))
     groups = sigs.select("digest", "doc_id").join(grouped, "digest").groupBy("root").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids")).where(F.size("doc_ids") > 1)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import near_dup as nd
@@ -101,3 +102,31 @@ def test_large_node_gives_up_its_clusters():
     sig[np.arange(200), rng.integers(0, nd.SIGNATURE, 200)] += 1
     pairs, stay = nd._clusters(sig, 50, nd.THRESHOLD)
     assert set(stay.tolist()) == set(range(200, 400)) and {int(x) for p in pairs for x in p[1]} | {int(p[0][0]) for p in pairs if len(p[0])} == set(range(200))
+
+
+def _false_pair(rng):
+    """Two texts of a shared template whose signatures agree as sure pairs do, though their Jaccard similarity is below the threshold."""
+    base = [f"b{k}" for k in range(120)]
+    texts = [" ".join(base + [f"x{rng.getrandbits(60)}" for _ in range(43)]) for _ in range(400)]
+    sets = _sets(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    sig = nd._matrix(pa.concat_arrays([b.column(2) for b in nd._signatures(iter([batch]))]))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((sig == sig[i]).sum(1) >= (nd.THRESHOLD + nd.SLACK) * nd.SIGNATURE):
+            if j != i and len(sets[i] & sets[j]) < (nd.THRESHOLD - 0.01) * len(sets[i] | sets[j]):
+                return texts[i], texts[j]
+
+
+def test_sure_signatures_are_verified(spark):
+    one, other = _false_pair(random.Random(4))
+    assert _groups(spark, [(1, one), (2, other), (3, one + " end")]) == [[1, 3]]
+
+
+def test_pairs_that_a_false_pair_stood_for_are_compared(spark):
+    sig = np.zeros((5, nd.SIGNATURE), np.uint16)
+    sig[4] = 9
+    reps = spark.createDataFrame([(k + 1, bytearray(sig[k].tobytes())) for k in range(5)], "digest long, sig binary")
+    pairs = spark.createDataFrame([(1, 2, 70), (1, 3, 70), (1, 5, 70), (3, 4, 71), (2, 4, None)], "a long, b long, bundle long")
+    checked = spark.createDataFrame([(1, 3), (3, 4)], "a long, b long")
+    found = nd.left_out(pairs, checked, nd.components(checked), reps, nd.THRESHOLD)
+    assert {(r.a, r.b) for r in found.collect()} == {(2, 3)}, "2 and 5 fell off; 5 agrees with none, 4 is of a bundle that holds"
