@@ -12,8 +12,8 @@ benchmark go to every executor; beyond that both sides meet in a join on the has
 results.
 
 Defined results: rows with null id or text, and items with null id or text or without a word, match
-nothing; an item text under several ids is reported for each; rows that share an id are tiled each
-for itself, and the pair gets the best of them; an empty table gives no rows; other columns are not
+nothing; an item text under several ids is reported for each; rows that share an id, of documents
+or of items, are tiled each for itself, and the pair gets the best of them; an empty table gives no rows; other columns are not
 read. Between equally long matches the one that starts first in the item, then in the document, is
 marked first.
 """
@@ -101,17 +101,17 @@ def _seeds(match: int):
                         owner = np.searchsorted(w.first, at, "right") - 1
                         keep = np.minimum(size[owner], match) == n
                         owner, at, seed = owner[keep], at[keep], seed[keep]
-                        ids = batch.column(0).slice(lo, hi - lo).take(pa.array(owner))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(seed.view(np.int64)), pa.array(at - w.first[owner]), pa.array(size[owner]), pa.array(np.full(len(at), n, np.int64))], ["item_id", "seed", "i", "size", "n"])
+                        ids, forms = (batch.column(c).slice(lo, hi - lo).take(pa.array(owner)) for c in (0, 2))
+                        yield pa.RecordBatch.from_arrays([ids, forms, pa.array(seed.view(np.int64)), pa.array(at - w.first[owner]), pa.array(size[owner]), pa.array(np.full(len(at), n, np.int64))], ["item_id", "form", "seed", "i", "size", "n"])
 
     return run
 
 
 def item_seeds(benchmark: DataFrame, match: int = MATCH, text: str = "text", key: str = "item_id") -> DataFrame:
-    """(item_id, seed, i, size, n): the hash of every run of n words at place i of an item of ``size`` words."""
+    """(item_id, form, seed, i, size, n): the hash of every run of n words at place i of an item of ``size`` words; ``form`` tells the texts of an id apart."""
     items = benchmark.select(benchmark[key].cast("long").alias("item_id"), benchmark[text].alias("text")).where("item_id is not null and text is not null")
-    first = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    return batched(first).mapInArrow(_seeds(match), "item_id long, seed long, i long, size long, n long")
+    texts = items.distinct().withColumn("form", F.xxhash64("text"))
+    return batched(texts).mapInArrow(_seeds(match), "item_id long, form long, seed long, i long, size long, n long")
 
 
 def _lookup(spark: SparkSession, seeds: pa.Table, threshold: float) -> Callable[[], Callable[[pa.Array], list[tuple[int, int, float, int, int]]]]:
@@ -119,12 +119,12 @@ def _lookup(spark: SparkSession, seeds: pa.Table, threshold: float) -> Callable[
     seed = seeds.column("seed").to_numpy().view(np.uint64)
     order = np.argsort(seed, kind="stable")
     seed = seed[order]
-    item, place, size, n_of = (seeds.column(c).to_numpy()[order] for c in ("item_id", "i", "size", "n"))
+    item, form, place, size, n_of = (seeds.column(c).to_numpy()[order] for c in ("item_id", "form", "i", "size", "n"))
     lengths = [int(n) for n in np.unique(n_of)]
-    handle = spark.sparkContext.broadcast((seed, item, place, size, n_of))
+    handle = spark.sparkContext.broadcast((seed, item, form, place, size, n_of))
 
     def start() -> Callable:
-        seed, item, place, size, n_of = handle.value
+        seed, item, form, place, size, n_of = handle.value
         bits = max(16, int(len(seed)).bit_length() + 4)
         there = np.zeros(1 << bits, bool)
         there[(seed >> np.uint64(64 - bits)).astype(np.int64)] = True
@@ -145,9 +145,9 @@ def _lookup(spark: SparkSession, seeds: pa.Table, threshold: float) -> Callable[
                     which = np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
                     at = np.repeat(at, count)
                     owner = np.searchsorted(w.first, at, "right") - 1
-                    order = np.lexsort((item[which], owner))
+                    order = np.lexsort((form[which], item[which], owner))
                     owner, at, which = owner[order], at[order], which[order]
-                    cut = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(item[which]) != 0), [True]]))
+                    cut = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(item[which]) != 0) | (np.diff(form[which]) != 0), [True]]))
                     for a, b in zip(cut[:-1], cut[1:]):
                         k = which[a]
                         if n_of[k] == n and (found := _judged(place[which[a:b]], at[a:b] - w.first[owner[a]], n, int(size[k]), threshold)):
@@ -189,7 +189,7 @@ def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], thresh
                     yield pa.RecordBatch.from_arrays([ids, pa.array(own[owner].view(np.int64)), pa.array(seed.view(np.int64)), pa.array(at - w.first[owner]), pa.array(np.full(len(at), n, np.int64))], ["doc_id", "row", "seed", "j", "n"])
 
     hits = docs.mapInArrow(run, "doc_id long, row long, seed long, j long, n long").join(seeds, ["seed", "n"])
-    grouped = hits.groupBy("doc_id", "row", "item_id").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.collect_set(F.struct("i", "j")).alias("hits"))
+    grouped = hits.groupBy("doc_id", "row", "item_id", "form").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.collect_set(F.struct("i", "j")).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

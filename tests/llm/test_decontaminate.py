@@ -88,3 +88,13 @@ def test_edge_cases(spark):
 def test_runs_stay_within_texts():
     at, _ = dc.runs(np.arange(10, dtype=np.uint64), np.array([0, 4, 4, 10]), 3)
     assert at.tolist() == [0, 1, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("limit", [dc.BROADCAST_SEEDS, 0])
+def test_all_texts_of_an_item_are_searched(spark, limit):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "two words"]
+    docs = spark.createDataFrame([(k, f"pad {t} pad") for k, t in enumerate(texts)] + [(3, "pad"), (4, " ".join(texts[:2]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, t) for t in texts], "item_id long, text string")
+    found = sorted(tuple(r) for r in dc.contained_items(docs, bench, broadcast_seeds=limit).collect())
+    assert found == [(0, 1, 1.0, 1, 6), (1, 1, 1.0, 1, 7), (2, 1, 1.0, 1, 2), (4, 1, 1.0, 1, 7)]
+    assert [r.doc_id for r in dc.without_contained(docs, bench, broadcast_seeds=limit).collect()] == [3]
