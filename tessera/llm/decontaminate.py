@@ -175,7 +175,15 @@ def _pairs_by_lookup(docs: DataFrame, seeds: pa.Table, threshold: float) -> Data
 _PAIR = "doc_id long, item_id long, coverage double, tiles int, longest int"
 
 
+def _lengths(seeds: DataFrame) -> list[int]:
+    return [r.n for r in seeds.select("n").distinct().orderBy("n").collect()]
+
+
 def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], threshold: float) -> DataFrame:
+    """The pairs of ``docs``, whose ``doc_id`` may be a long or a binary digest."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = pa.binary() if kind == "binary" else pa.int64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunked(batch.column(1)):
@@ -188,7 +196,7 @@ def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], thresh
                     ids = batch.column(0).slice(lo, hi - lo).take(pa.array(owner))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(own[owner].view(np.int64)), pa.array(seed.view(np.int64)), pa.array(at - w.first[owner]), pa.array(np.full(len(at), n, np.int64))], ["doc_id", "row", "seed", "j", "n"])
 
-    hits = docs.mapInArrow(run, "doc_id long, row long, seed long, j long, n long").join(seeds, ["seed", "n"])
+    hits = docs.mapInArrow(run, f"doc_id {kind}, row long, seed long, j long, n long").join(seeds, ["seed", "n"])
     grouped = hits.groupBy("doc_id", "row", "item_id", "form").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.collect_set(F.struct("i", "j")).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +207,9 @@ def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], thresh
                 if found := _judged(i, j, n, size, threshold):
                     rows.append((doc, item, *found))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "longest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (id_type, pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "longest"])
 
-    return grouped.select("doc_id", "item_id", "n", "size", "hits").mapInArrow(judge, _PAIR)
+    return grouped.select("doc_id", "item_id", "n", "size", "hits").mapInArrow(judge, _PAIR.replace("doc_id long", f"doc_id {kind}"))
 
 
 def contained_items(
@@ -214,21 +222,24 @@ def contained_items(
     if held.num_rows <= broadcast_seeds:
         pairs = _pairs_by_lookup(docs, held, threshold)
     else:
-        pairs = _pairs_by_join(docs, seeds, [r.n for r in seeds.select("n").distinct().orderBy("n").collect()], threshold)
+        pairs = _pairs_by_join(docs, seeds, _lengths(seeds), threshold)
     best = F.max(F.struct("coverage", -F.col("tiles"), "longest")).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", (-F.col("best.col2")).alias("tiles"), "best.longest")
 
 
 def without_contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", match: int = MATCH, threshold: float = THRESHOLD, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """The rows whose text contains no test item, in one pass and without a join.
+    """The rows whose text contains no test item, whatever their id; in one pass and without a join.
 
-    Where the benchmark is too large to broadcast, rows go by their id: those that share one with a
-    row that contains an item go with it, and rows with a null id stay.
+    Where the benchmark is too large to broadcast, the texts that contain an item are joined to the
+    rows by a 128-bit digest, so that the same rows stay.
     """
-    held = item_seeds(benchmark, match).limit(broadcast_seeds + 1).toArrow()
+    seeds = item_seeds(benchmark, match)
+    held = seeds.limit(broadcast_seeds + 1).toArrow()
     if held.num_rows > broadcast_seeds:
-        gone = contained_items(docs, benchmark, text, key, match, threshold, broadcast_seeds).select(F.col("doc_id").alias(key)).distinct()
-        return docs.join(gone, key, "left_anti").select(docs.columns)
+        digest = F.unhex(F.md5(F.col(text)))
+        texts = batched(docs).select(digest.alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+        gone = _pairs_by_join(texts, seeds, _lengths(seeds), threshold).select(F.col("doc_id").alias("_digest")).distinct()
+        return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(docs.columns)
     start, place = _lookup(docs.sparkSession, held, threshold), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,3 +98,13 @@ def test_all_texts_of_an_item_are_searched(spark, limit):
     found = sorted(tuple(r) for r in dc.contained_items(docs, bench, broadcast_seeds=limit).collect())
     assert found == [(0, 1, 1.0, 1, 6), (1, 1, 1.0, 1, 7), (2, 1, 1.0, 1, 2), (4, 1, 1.0, 1, 7)]
     assert [r.doc_id for r in dc.without_contained(docs, bench, broadcast_seeds=limit).collect()] == [3]
+
+
+def test_both_ways_keep_the_same_rows(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, item), (1, item), (1, "else"), (2, None), (None, item), (None, "clean"), (3, ""), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (dc.BROADCAST_SEEDS, 0):
+        kept = dc.without_contained(docs, bench, broadcast_seeds=limit)
+        assert kept.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", "else"), ("2", "None"), ("3", ""), ("None", "None"), ("None", "clean")], limit
