@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.tables import batched, dropped, few, table, written
 from tessera.llm.words import chunked, mix, words
@@ -402,14 +403,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: flo
     return checked
 
 
-def near_duplicate_groups(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """(group_id, n_docs, doc_ids) of each group of near copies; see the module for what counts.
-
-    Only ids and 128-byte signatures are shuffled through the trees; sets of hashes move once
-    more, for the pairs to verify.
-    """
+def _grouped(docs: DataFrame, text: str, key: str, threshold: float, trees: int, leaf: int, max_depth: int) -> DataFrame:
+    """(root, digest, doc_id) of every row that has a near copy or an equal text in another row."""
     docs = batched(docs).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
     sigs = written(docs.mapInArrow(_signatures, "doc_id long, digest long, sig binary"), "signatures")
     reps = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "reps")
@@ -421,24 +416,62 @@ def near_duplicate_groups(
         roots = components(checked.unionByName(_verified(docs, reps, more, threshold)))
     linked = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "digest")
     grouped = reps.select("digest", "n").join(linked, "digest", "left").where("root is not null or n > 1").select("digest", F.coalesce("root", "digest").alias("root"))
-    groups = sigs.select("digest", "doc_id").join(grouped, "digest").groupBy("root").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids")).where(F.size("doc_ids") > 1)
+    return sigs.select("digest", "doc_id").join(grouped, "digest").select("root", "digest", "doc_id")
+
+
+def near_duplicate_groups(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """(group_id, n_docs, doc_ids) of each group of near copies; see the module for what counts.
+
+    Only ids and 128-byte signatures are shuffled through the trees; sets of hashes move once
+    more, for the pairs to verify.
+    """
+    groups = _grouped(docs, text, key, threshold, trees, leaf, max_depth).groupBy("root").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids")).where(F.size("doc_ids") > 1)
     return groups.select(F.element_at("doc_ids", 1).alias("group_id"), F.size("doc_ids").alias("n_docs"), "doc_ids")
 
 
-def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with the first document of each group, all other documents, and one of each repeated row.
+def _digested(place: int):
+    """Adds to each row the digest of its text's set; null for texts without a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, some = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for lo, _, data, offsets in chunked(batch.column(place)):
+                w = words(data, offsets)
+                h, first = _sorted_sets(*shingles(w.hash, w.first))
+                at = np.flatnonzero(np.diff(first))
+                if len(at):
+                    digest[lo + at], some[lo + at] = _digests(h, first[at]), True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, mask=~some)], [*batch.schema.names, "_digest"])
+
+    return run
+
+
+def without_near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """``docs`` with one row of each group, all other rows, and one of each repeated row.
 
-    Rows with a null id or without a word stay as they are.
+    Rows are told apart by id and text: of a group the row of the least id stays, of equal ids that
+    of the least digest, of equal digests the least row. Rows with a null id stay as they are, and
+    those without a word too, but for repeated ones.
     """
-    groups = near_duplicate_groups(docs, text, key, **settings)
-    gone = written(groups.select(F.explode(F.slice("doc_ids", 2, F.greatest(F.size("doc_ids") - 1, F.lit(0)))).alias(key)).distinct(), "gone")
-    # only rows whose id repeats are compared as wholes
-    repeated = written(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
-    kept = docs.join(few(gone), key, "left_anti")
+    # one id may be in a group several times, with texts that are near or equal
+    grouped = _grouped(docs, text, key, threshold, trees, leaf, max_depth).withColumn("first", F.min(F.struct("doc_id", "digest")).over(Window.partitionBy("root")))
+    gone = written(grouped.where(F.struct("doc_id", "digest") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
+    ids = docs.select(F.col(key).cast("long").alias("_id")).where("_id is not null")
+    repeated = written(ids.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    rows = docs.withColumn("_id", F.col(key).cast("long"))
+    # the id alone tells a row that doesn't share it
+    once = rows.join(few(gone.select("_id").unionByName(repeated).distinct()), "_id", "left_anti").select(docs.columns)
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once, several = kept.join(few(repeated), key, "left_anti"), kept.join(few(repeated), key, "left_semi")
-    return once.unionByName(several.dropDuplicates()).select(docs.columns)
+        return once
+    several = rows.join(few(repeated), "_id", "left_semi").select(*docs.columns, "_id")
+    several = batched(several).mapInArrow(_digested(docs.columns.index(text)), StructType([*several.schema.fields, StructField("_digest", LongType())]))
+    several = several.join(gone, ["_id", "_digest"], "left_anti")
+    least = several.where("_digest is not null").groupBy("_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(least).unionByName(several.where("_digest is null").select(docs.columns).dropDuplicates())
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,13 @@ def test_pairs_that_a_false_pair_stood_for_are_compared(spark):
     checked = spark.createDataFrame([(1, 3), (3, 4)], "a long, b long")
     found = nd.left_out(pairs, checked, nd.components(checked), reps, nd.THRESHOLD)
     assert {(r.a, r.b) for r in found.collect()} == {(2, 3)}, "2 and 5 fell off; 5 agrees with none, 4 is of a bundle that holds"
+
+
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    x, y, clean = "alpha beta gamma delta", "one two three four", "text of its own here"
+    rows = [(3, x, "s"), (7, x, "s"), (7, y, "s"), (9, y, "s"), (7, clean, "s"), (8, "a b c d e f g h i j", "s"), (8, "a b c d e f g h i j k", "s"), (5, "same words", "t"), (5, "same  WORDS", "s"), (5, "", "s"), (6, None, "s"), (None, x, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in nd.without_near_duplicates(df).collect()]
+    eight = [r for r in got if r[0] == 8]
+    assert len(eight) == 1 and eight[0] in rows
+    assert sorted((r for r in got if r[0] != 8), key=str) == sorted([(3, x, "s"), (7, y, "s"), (7, clean, "s"), (5, "same  WORDS", "s"), (5, "", "s"), (6, None, "s"), (None, x, "s")], key=str)
