@@ -11,9 +11,10 @@ reaches, and validates what it found:
 * ``phone`` – ``+`` and 8 to 15 digits in groups, or ``(ddd) ddd-dddd``, ``ddd-ddd-dddd``,
 * ``card`` – 13 to 19 digits, in groups of 4 or together, that no letter or digit adjoins and that
   begin as cards do; a failed check digit is reported as ``valid`` false,
-* ``iban`` – country, check digits and 11 to 30 characters, with remainder 1 by 97,
+* ``iban`` – country, check digits and 11 to 30 characters, with remainder 1 by 97, after any cue,
 * ``ssn`` – ``ddd-dd-dddd`` out of the ranges never issued,
-* ``account`` – 5 to 20 letters and digits, one digit at least, after a cue and a separator.
+* ``account`` – 5 to 20 letters and digits, after a cue and a separator, with one digit at least;
+  with five where the separator is a blank alone.
 
 Where spans of several kinds overlap, the longest stays (of equal ones the first of the list).
 
@@ -38,6 +39,8 @@ from tessera.llm.tables import batched, table
 KINDS = ("email", "url_login", "ip", "phone", "card", "iban", "ssn", "account")
 CUES = ("account", "acct", "iban", "ssn", "social security", "passport", "tax id", "taxid", "driver license", "licence no", "license no", "customer id", "member id", "patient id", "konto", "kontonummer", "cuenta", "compte", "dni", "nif", "steuer-id")
 SCHEMES = ("http://", "https://", "ftp://", "postgres://", "postgresql://", "mysql://", "redis://", "amqp://", "mongodb://", "ssh://", "sftp://")
+#: Digits that an identifier needs where only a blank separates it from its cue.
+BARE_DIGITS = 5
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
 _EDGE = ".!#$%&'*/=?^`{|}~-"
 _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
@@ -49,7 +52,9 @@ _CARD = re.compile(r"\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?!\d)|3[47
 _ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|30[0-5]|3[68]|6(?:011|5|4[4-9]|2)|35")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
-_ACCOUNT = re.compile(r"(?: ?(?:number|nummer|no\.?|nr\.?|id|#))?[ ]?(?:[:#=]|is|ist|es)[ ]?([A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){3,22}[A-Za-z0-9])(?![A-Za-z0-9])")
+_LEAD = r"(?i:(?: ?(?:number|nummer|no\.?|nr\.?|id|#))?(?:(?P<sign>[ ]?(?:[:#=]|is|ist|es)[ ]?)|[ ]))"
+_BEFORE = re.compile(_LEAD)
+_ACCOUNT = re.compile(_LEAD + r"(?P<code>[A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){3,22}[A-Za-z0-9])(?![A-Za-z0-9])")
 
 
 @lru_cache(maxsize=1)
@@ -127,15 +132,17 @@ def _cue(text: str, lower: str, begin: int, end: int) -> Iterator[tuple[str, int
     tail = end
     while tail < len(text) and text[tail] in " :#=.":
         tail += 1
-    if lower[begin:end] == "iban" and (m := _IBAN.match(text, tail)):
-        last = m.end()
-        while last > tail + 14:  # groups that follow may be words; the longest valid code counts
-            if _iban(text[tail:last]):
-                yield "iban", tail, last, True
-                return
-            last = max(text.rfind(" ", tail, last), tail)
-    if (m := _ACCOUNT.match(text, end)) and sum(c.isdigit() for c in m[1]) and 5 <= len(m[1].replace("-", "")) <= 20:
-        yield "account", m.start(1), m.end(1), True
+    lead = _BEFORE.match(text, end)
+    for at in {tail, lead.end() if lead else tail}:
+        if m := _IBAN.match(text, at):
+            last = m.end()
+            while last > at + 14:  # groups that follow may be words; the longest valid code counts
+                if _iban(text[at:last]):
+                    yield "iban", at, last, True
+                    return
+                last = max(text.rfind(" ", at, last), at)
+    if (m := _ACCOUNT.match(text, end)) and sum(c.isdigit() for c in m["code"]) >= (1 if m["sign"] else BARE_DIGITS) and 5 <= len(m["code"].replace("-", "")) <= 20:
+        yield "account", m.start("code"), m.end("code"), True
 
 
 def found(text: str) -> list[tuple[str, int, int, bool]]:

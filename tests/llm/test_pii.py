@@ -67,3 +67,19 @@ def test_edge_cases(spark):
     found = sorted((str(r.doc_id), r.kind, r.begin, r.end, r.value) for r in pii.personal_data(docs).collect())
     assert found == [("1", "email", 0, 6, "x@y.de")] * 2 + [("4", "email", 500000, 500006, "x@y.de"), ("None", "email", 0, 6, "x@y.de")]
     assert pii.personal_data(docs.where("doc_id > 99")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("account number 12345678", [("account", "12345678", True)]),
+        ("Account no. 12345678, account 12345678.", [("account", "12345678", True)] * 2),
+        ("Account Number 12345678, Konto Nr. 1234567, ACCOUNT NO: 12345", [("account", "12345678", True), ("account", "1234567", True), ("account", "12345", True)]),
+        ("passport AB1234567 and Kontonummer 1234567", [("account", "AB1234567", True), ("account", "1234567", True)]),
+        ("Konto: DE89 3704 0044 0532 0130 00", [("iban", "DE89 3704 0044 0532 0130 00", True)]),
+        ("account number DE89 3704 0044 0532 0130 00 or Konto Nr. DE89370400440532013000", [("iban", "DE89 3704 0044 0532 0130 00", True), ("iban", "DE89370400440532013000", True)]),
+        ("account holders 12345678, account b2b, passport 2019, accounts 12345678", []),
+    ],
+)
+def test_a_blank_may_follow_the_cue(text, want):
+    assert _found(text) == want
