@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.config import QUERY_TOKENS, SearchConfig
 
+#: Characters of a text and of a key that decide the order of documents with equal scores.
+TIE = 64
+
+
 def nul() -> Column:
     """U+0000."""
     return F.char(F.lit(0))
@@ -28,6 +32,16 @@ def doc_id(text: Column, key: Column) -> Column:
     return F.concat(F.coalesce(text, F.lit("")), nul(), F.coalesce(key.cast("string"), F.lit("")))
 
 
+def short_id(of: Column) -> Column:
+    """16 bytes that stand for a string in joins and groups, so that whole texts don't move."""
+    return F.unhex(F.left(F.sha2(of, 256), F.lit(32)))
+
+
+def tie(text: Column, key: Column) -> Column:
+    """What orders documents of equal scores: the beginnings of text and key."""
+    return F.concat(F.left(text, F.lit(TIE)), nul(), F.left(key, F.lit(TIE)))
+
+
 def text_of(id_: Column) -> Column:
     return F.call_function("substring_index", id_, nul(), F.lit(1))
 

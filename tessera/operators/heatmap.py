@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.config import SearchConfig
 from tessera.functions.matching import BLOCK, EXACT, SINGLE, text_tiers, word_tiers
-from tessera.functions.text import text_of
-from tessera.operators.index import SearchIndex
+from tessera.functions.text import short_id, text_of
+from tessera.operators.index import SearchIndex, free_name
 
 _CHARS = "array<struct<ch:string,tier:int>>"
 RESET, BRIGHT, YELLOW, CYAN, GRAY = "\x1b[0m", "\x1b[93m", "\x1b[33m", "\x1b[36m", "\x1b[90m"
@@ -43,7 +43,8 @@ def word_heatmap(query: Column, target: Column, ignore_case: bool = True) -> Col
 def heatmap(index: SearchIndex, pairs: DataFrame) -> DataFrame:
     """``pairs(query, doc_id)`` with ``chars``; null for a blank query, and no row for a document that isn't there."""
     config: SearchConfig = index.config
-    there = pairs.join(index.docs.select("doc_id"), "doc_id", "left_semi")
+    known = index.docs.select(F.col("uid").alias(name := free_name("_uid", pairs.columns)))
+    there = pairs.withColumn(name, short_id(F.col("doc_id"))).join(known, name, "left_semi").drop(name)
     text = text_of(F.col("doc_id"))
     return there.withColumn("chars", _joined(text, _mapped(lambda q, t: text_tiers(q, t, config))(F.col("query"), text)))
 

@@ -12,7 +12,7 @@ from tessera.functions.features import cosines, raw_features, vectors
 from tessera.functions.text import doc_id, key_of, query_tokens, text_of, tokens
 from tessera.operators.heatmap import heatmap, highlighted, word_heatmap
 from tessera.operators.index import SearchIndex, build
-from tessera.operators.search import best_matches, best_tokens, candidate_ranges, find, find_items, length_penalty, proximity, query_terms, scored_tokens, scores, token_cosines
+from tessera.operators.search import best_matches, best_tokens, by_token, candidate_ranges, candidates, find, find_items, length_penalty, proximity, query_terms, scored_tokens, scores, token_cosines
 from tessera.sources.lines import keyed_lines
 from tessera.sources.snapshot import export, restore
 from tessera.sources.tables import fresh_path, table
@@ -75,7 +75,8 @@ def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def postings_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted index of part names."""
-    return parts(spark, sf_dir).postings.select("token", "key", "pos")
+    index = parts(spark, sf_dir)
+    return index.postings.join(index.docs.select("uid", "key"), "uid").select("token", "key", "pos")
 
 
 @query
@@ -117,8 +118,10 @@ def _steps(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> dict[str,
     near = token_cosines(index, terms)
     best = best_tokens(index, terms, near)
     ranges = candidate_ranges(index, terms, best)
-    docs, scored = scored_tokens(index, terms, near, ranges)
-    return {"terms": terms, "best": best, "ranges": ranges, "docs": docs, "scored": scored, "matches": best_matches(docs, scored)}
+    docs = candidates(index, ranges)
+    scored = scored_tokens(index, terms, near, docs)
+    keys = index.docs.select("uid", "key")
+    return {"terms": terms, "best": best, "ranges": ranges.join(keys, "uid"), "scored": scored.join(terms.select("query_id", "j", "qtoken"), ["query_id", "j"]), "matches": best_matches(docs, by_token(scored)), "keys": keys}
 
 
 @query
@@ -130,26 +133,28 @@ def vocabulary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with the range of places of their hits."""
-    return _steps(spark, sf_dir, TYPOS)["ranges"].select("query_id", key_of(F.col("doc_id")).alias("key"), "lo", "hi")
+    return _steps(spark, sf_dir, TYPOS)["ranges"].select("query_id", "key", "lo", "hi")
 
 
 @query
 def scored_window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that count for a query, with their cosines."""
-    return _steps(spark, sf_dir, TYPOS)["scored"]
+    return _steps(spark, sf_dir, TYPOS)["scored"].select("query_id", "token", "qtoken", "cos")
 
 
 @query
 def best_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best token of each candidate for each query token."""
-    return _steps(spark, sf_dir, TYPOS)["matches"].select("query_id", key_of(F.col("doc_id")).alias("key"), "qtoken", "cos", "pos")
+    s = _steps(spark, sf_dir, TYPOS)
+    matches = s["matches"].select("query_id", "uid", F.inline("matches")).join(s["terms"].select("query_id", "j", "qtoken"), ["query_id", "j"])
+    return matches.join(s["keys"], "uid").select("query_id", "key", "qtoken", "cos", "pos")
 
 
 @query
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all candidates, before any ranking."""
     s = _steps(spark, sf_dir, WORDS)
-    return scores(s["docs"], s["matches"], s["terms"], SearchConfig()).select("query_id", "key", "score")
+    return scores(s["matches"], s["terms"], SearchConfig()).join(s["keys"], "uid").select("query_id", "key", "score")
 
 
 @query
@@ -256,7 +261,7 @@ def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, postings and vocabulary of all documents and of part names by brand."""
     one = build(table(spark, sf_dir, "documents"), "text", "doc_id")
     two = build(table(spark, sf_dir, "part"), "p_name", "p_brand")
-    row = lambda name, i: i.docs.select(F.lit(name).alias("name"), F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"), "doc_id").agg(F.lit(name).alias("name"), F.count_distinct("doc_id").alias("docs"), F.count("token").alias("postings"), F.count_distinct("token").alias("vocabulary"))
+    row = lambda name, i: i.docs.select(F.lit(name).alias("name"), F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"), "uid").agg(F.lit(name).alias("name"), F.count_distinct("uid").alias("docs"), F.count("token").alias("postings"), F.count_distinct("token").alias("vocabulary"))
     return row("documents", one).union(row("parts", two))
 
 

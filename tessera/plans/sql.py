@@ -64,8 +64,8 @@ def steps(source: tuple[str, str, str], asked_: str, k: int = 10, slack: int = 5
         (CASE WHEN n = 1 THEN only_cos ELSE n / (parts + (n - m) * 1e6) END)
         * (1 - {bonus} * (1 - CASE WHEN m >= 2 THEN decay / ((m - 1) * 0.5) WHEN m = 1 AND n > 1 THEN 0 ELSE 1 END))
         * greatest(0.5, 1 - 0.1 * log10(greatest(n_tokens, 1)::DOUBLE)), 0), 1), 6) AS score FROM candidates),
-    once AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, text, key) AS copy FROM scores),
-    ranked AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text, key) AS rank, text, key, tokens, score FROM once WHERE copy = 1) WHERE rank <= {k})
+    once AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, left(text, 64), left(key, 64)) AS copy FROM scores),
+    ranked AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, left(text, 64), left(key, 64)) AS rank, text, key, tokens, score FROM once WHERE copy = 1) WHERE rank <= {k})
     """
 
 

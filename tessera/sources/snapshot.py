@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.config import RECORD_NAMES, SearchConfig
 from tessera.functions.text import doc_id, key_of, text_of
-from tessera.operators.index import SearchIndex, _column
+from tessera.operators.index import SearchIndex, _column, free_name, with_ids
 
 _SETTINGS = {name: {"bool": "boolean", "int": "int", "float": "float", "str": "string"}[str(SearchConfig.__dataclass_fields__[k].type)] for k, name in RECORD_NAMES.items()}
 _RECORD = "type string, " + ", ".join(f"{n} {t}" for n, t in _SETTINGS.items()) + ", token string, vector struct<features:array<string>,weights:array<float>>, docId string, tokens array<string>"
@@ -62,12 +62,17 @@ def restore(spark: SparkSession, path: str, text: str | Column = "text", key: st
     rows = read_records(spark, path, item)
     head = rows.where("type = 'metadata'").select(*_SETTINGS).first()
     config = SearchConfig.of_record(head.asDict()) if head else SearchConfig()
-    stored = rows.where("type = 'payload'").select("item", "item.*", "tokens")
-    payload = stored.select(doc_id(_column(text), _column(key)).alias("doc_id"), F.coalesce(_column(text), F.lit("")).alias("text"), F.coalesce(_column(key).cast("string"), F.lit("")).alias("key"), "tokens", "item") if config.have_store else None
-    bare = rows.where("type = 'token_payload'").select(F.col("docId").alias("doc_id"), text_of(F.col("docId")).alias("text"), key_of(F.col("docId")).alias("key"), "tokens", "item")
-    docs = bare.unionByName(payload) if payload is not None else bare
+    bare = rows.where("type = 'token_payload'").select(F.col("docId").alias("doc_id"), "tokens", "item")
+    docs = bare.select("doc_id", text_of(F.col("doc_id")).alias("text"), key_of(F.col("doc_id")).alias("key"), "tokens", "item")
+    if config.have_store:
+        fields = [f.name for f in rows.schema["item"].dataType.fields]
+        words, whole = free_name("_tokens", fields), free_name("_item", fields)  # an item may have columns of any name
+        stored = rows.where("type = 'payload'").select(F.col("tokens").alias(words), F.col("item").alias(whole), "item.*")
+        docs = docs.unionByName(stored.select(doc_id(_column(text), _column(key)).alias("doc_id"), F.coalesce(_column(text), F.lit("")).alias("text"), F.coalesce(_column(key).cast("string"), F.lit("")).alias("key"), F.col(words).alias("tokens"), F.col(whole).alias("item")))
     once = docs.withColumn("seq", F.monotonically_increasing_id()).groupBy("doc_id").agg(F.max_by(F.struct("text", "key", "tokens", "item"), "seq").alias("d")).select("doc_id", "d.*")
-    docs = once.withColumn("n_tokens", F.size("tokens")).select("doc_id", "text", "key", "tokens", "n_tokens", "item")
+    docs = with_ids(once)
     long = rows.where("type = 'vocab'").select("token", F.explode(F.arrays_zip(F.col("vector.features").alias("feature"), F.col("vector.weights").alias("w"))).alias("f"))
     vectors = long.select("token", F.col("f.feature").alias("feature"), F.col("f.w").cast("double").alias("w"))
-    return SearchIndex(docs, config, text, key, vectors_table=vectors)
+    # as in any index, the vocabulary is that of the documents that are there
+    live = docs.select(F.explode("tokens").alias("token")).distinct()
+    return SearchIndex(docs, config, text, key, vectors_table=vectors.join(live, "token", "left_semi"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of ``sf_dir``, as a file or a folder."""
@@ -14,16 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set and all runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing has yet."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN.get()[-1:]:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``fresh_path`` and ``written`` made within it (in this thread); results have to be taken before.
+
+    Without it these tables stay until the shared folder is cleaned, since a plan may still read them.
+    """
+    made: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,8 +72,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.tessera_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.tessera_path)

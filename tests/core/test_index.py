@@ -4,7 +4,9 @@ from tessera.config import SearchConfig
 from tessera.functions.features import vectors
 from tessera.functions.matching import vector
 from tessera.operators.index import build, empty
-from tessera.operators.search import find
+from tessera.operators.search import find, find_items
+from tessera.sources.snapshot import export, restore
+from tessera.streaming.live import without_repeats
 
 
 def _docs(spark, *rows):
@@ -43,7 +45,7 @@ def test_texts_and_keys_make_an_identity(spark):
 
 def test_postings_and_vocabulary(spark):
     index = _index(spark, ("1", "Kotlin Multiplatform", 1), ("2", "Kotlin Coroutines", 1), ("3", "Java Concurrency", 1), ("4", "New York New Jersey", 1), ("5", "---", 1))
-    assert {(r.token, r.pos) for r in index.postings.where("key = '4'").collect()} == {("new", 0), ("york", 1), ("jersey", 2)}
+    assert {(r.token, r.pos) for r in index.postings.join(index.docs.where("key = '4'").select("uid"), "uid").collect()} == {("new", 0), ("york", 1), ("jersey", 2)}
     assert index.vocabulary.count() == 8 and _size(index) == 5
     left = index.removed(_docs(spark, ("1", "Kotlin Multiplatform", 1)))
     assert {r.token for r in left.vocabulary.collect()} == {r.token for r in index.vocabulary.collect()} - {"multiplatform"}
@@ -59,6 +61,44 @@ def test_contains_clear_merge(spark):
     assert sorted((r.docId, r.version) for r in merged.items().collect()) == [("1", 1), ("2", 5), ("3", 5)]
     with pytest.raises(ValueError):
         index.merged(build(probe, "title", "docId", SearchConfig(have_store=True, max_ngram=3)))
+    with pytest.raises(ValueError):
+        index.merged(build(probe, "title", "docId", SearchConfig(have_store=False)))
+
+
+def test_written_tables_are_carried_on(spark, tmp_path):
+    """Changes of a saved index give what building anew gives, and embed new tokens alone."""
+    rows = [("1", "Red lamp", 1), ("2", "Blue chair", 1), ("3", "Red chair", 1)]
+    saved = _index(spark, *rows).saved(str(tmp_path / "a"))
+    other = _index(spark, ("3", "Red chair", 5), ("4", "Green sofa", 5)).saved(str(tmp_path / "b"))
+    changed = {
+        "added": (saved.added(_docs(spark, ("5", "Green lamp", 1), ("1", "Red lamp", 2)), "seq"), [*rows, ("5", "Green lamp", 1)]),
+        "removed": (saved.removed(_docs(spark, ("2", "Blue chair", 1))), [rows[0], rows[2]]),
+        "merged": (saved.merged(other), [rows[0], rows[1], ("3", "Red chair", 5), ("4", "Green sofa", 5)]),
+        "both": (saved.removed(_docs(spark, rows[1])).added(_docs(spark, ("6", "Blue moon", 1))), [rows[0], rows[2], ("6", "Blue moon", 1)]),
+    }
+    queries = spark.createDataFrame([(1, "rde chiar"), (2, "green")], "query_id int, query string")
+    plain = lambda df: sorted(map(str, df.collect()))
+    for name, (index, want) in changed.items():
+        fresh = _index(spark, *want)
+        assert index.vectors_table is not None and plain(find(index, queries)) == plain(find(fresh, queries)), name
+        assert plain(index.items().drop("seq")) == plain(fresh.items().drop("seq")) and plain(index.postings) == plain(fresh.postings) and index.docs.columns == fresh.docs.columns, name
+        rounded = lambda v: sorted((r.token, r.feature, round(r.w, 9)) for r in v.collect())
+        assert rounded(index.vectors) == rounded(fresh.vectors), name
+
+
+def test_columns_of_clashing_names(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Red lamp", 7, "a", 9, ["x"]), (2, "Blue chair", 8, "b", 9, ["y"])], "id int, name string, rank int, _uid string, score int, tokens array<string>")
+    index = build(rows, "name", "id", SearchConfig(have_store=True))
+    assert sorted(r._uid for r in index.contains(rows).collect()) == ["a", "b"]
+    got = find_items(index, spark.createDataFrame([(1, "lamp")], "query_id int, query string")).where("rank = 1")
+    assert got.columns == ["query_id", "rank", "score", "id", "name", "item_rank", "_uid", "item_score", "tokens"] and got.first().item_rank == 7
+    export(index, str(tmp_path / "s"))
+    back = restore(spark, str(tmp_path / "s"), "name", "id")
+    assert sorted(r.tokens[0] for r in back.items().collect()) == ["x", "y"] and back.docs.where("key = '1'").first().tokens == ["red", "lamp"]
+    path = str(tmp_path / "rows")
+    rows.withColumn("doc_id", rows.id).write.parquet(path)
+    stream = without_repeats(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), "name", "id")
+    assert stream.columns == [*rows.columns, "doc_id"] and dict(stream.dtypes)["doc_id"] == "int"
 
 
 def test_without_store_there_are_no_items(spark):

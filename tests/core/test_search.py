@@ -122,6 +122,23 @@ def test_plan_has_no_python_and_broadcasts_the_query(spark):
     assert "BroadcastHashJoin" in plan(near) and "Python" not in plan(near) + plan(find(index, queries)) + plan(best_tokens(index, query_terms(queries, index.config), near))
 
 
+def test_search_moves_no_texts_and_skips_postings(spark, tmp_path):
+    from tessera.operators.search import pushed
+
+    index = build(spark.createDataFrame([("red lamp", "1"), ("blue chair", "2")], "text string, key string")).saved(str(tmp_path / "i"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token" in plan(pushed(index.postings, ["red", "lamp"]))
+    final = plan(find(index, spark.createDataFrame([(1, "rde")], "query_id int, query string")))
+    moved = [line for line in final.splitlines() if "Exchange hashpartitioning" in line or "Window" in line]
+    assert moved and not any(name in line for line in moved for name in (" tokens#", " doc_id#", " text#", "(tokens#", "(doc_id#"))
+
+
+def test_queries_of_equal_tokens_are_answered_each(spark):
+    index = build(spark.createDataFrame([("red lamp", "1")], "text string, key string"))
+    queries = spark.createDataFrame([(1, "Red"), (2, "red "), (2, "lamp"), (3, ""), (4, None)], "query_id int, query string")
+    assert sorted((r.query_id, r.score) for r in find(index, queries).collect()) == sorted([(1, 0.969897)] * 1 + [(2, 0.969897)] * 2)
+
+
 def test_text_functions(spark):
     from tessera.functions.text import doc_id, key_of, text_of, tokens
 

@@ -76,8 +76,53 @@ def test_live_index(spark, tmp_path):
     assert sorted(live.results().collect()) == sorted(batch.collect()) != sorted(first)
     live.add(spark.createDataFrame([(4, "Red lamps", "EU"), (1, "Red lamp", "AS")], "id int, name string, market string"), 1)
     assert live.index().docs.count() == 4 and sorted(live.results().collect()) == sorted(batch.collect())
-    live.remove(_rows(spark).where("id = 1"), 2)
-    assert sorted(r.key for r in live.index().docs.collect()) == ["2", "3", "4"] and live.index().postings.where("key = '1'").count() == 0
+    live.remove(_rows(spark).where("id = 1"))
+    assert sorted(r.key for r in live.index().docs.collect()) == ["2", "3", "4"] and live.index().postings.join(live.index().docs, "uid", "left_anti").count() == 0
+    before = live.results().collect()
+    live.ask(_queries(spark, "blue chair"))  # no batch is needed
+    assert live.results().where("rank = 1").first().doc_id == "Blue chair\x002" and before
+    live.ask(None)
+    assert live.results() is None
+
+
+def test_live_index_forgets_tokens_of_removed_documents(spark, tmp_path):
+    rows = [(1, "kotlin"), (2, "kotlim alpha"), (3, "other")]
+    frame = lambda some: spark.createDataFrame(some, "id int, name string")
+    config = SearchConfig(max_results=1)
+    live = LiveIndex(spark, str(tmp_path / "live"), "name", "id", config)
+    live.ask(_queries(spark, "kotlin"))
+    for batch, row in enumerate(rows):
+        live.add(frame([row]), batch)
+    index = build(frame(rows), "name", "id", config)
+    live.remove(frame(rows[:1]))
+    rebuilt = find(build(frame(rows[1:]), "name", "id", config), _queries(spark, "kotlin")).collect()
+    assert rebuilt[0].doc_id.startswith("kotlim") and live.results().collect() == rebuilt == find(index.removed(frame(rows[:1])), _queries(spark, "kotlin")).collect()
+    saved = index.saved(str(tmp_path / "index")).removed(frame(rows[:1]))
+    assert find(saved, _queries(spark, "kotlin")).collect() == rebuilt and saved.vectors.where("token = 'kotlin'").count() == 0
+    path = str(tmp_path / "snapshot")
+    export(index, path, single_file=True)
+    lines = [r.value for r in spark.read.text(path).collect() if '"docId":"kotlin' not in r.value]
+    (tmp_path / "without.json").write_text("\n".join(lines))
+    assert [r.doc_id for r in find(restore(spark, str(tmp_path / "without.json")), _queries(spark, "kotlin")).collect()] == [r.doc_id for r in rebuilt]
+
+
+def test_live_index_states(spark, tmp_path, monkeypatch):
+    from tessera.streaming import live as module
+
+    monkeypatch.setattr(module, "COMPACT", 3)
+    frame = lambda k: spark.createDataFrame([(k, f"name {k}")], "id int, name string")
+    live = LiveIndex(spark, str(tmp_path / "live"), "name", "id")
+    for k in range(6):
+        live.add(frame(k), k)
+    live.add(frame(5), 5)
+    assert sorted(r.key for r in live.index().docs.collect()) == list("012345")
+    assert len(live._state()["parts"]) <= 4 and len(live._versions()) == module.KEPT
+    assert live.index().vectors.groupBy("token").count().where("token = 'name'").count() == 1
+    # a change that ends before its state is in place changes nothing
+    monkeypatch.setattr(live, "_publish", lambda state: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        live.add(frame(9), 6)
+    assert sorted(r.key for r in live.index().docs.collect()) == list("012345")
 
 
 def test_streams(spark, tmp_path):
