@@ -11,14 +11,22 @@ branch on. At ``max_depth`` any node is compared exhaustively, whatever its size
 signatures agree well enough are verified by the exact Jaccard similarity of the sets, and the
 groups are the connected components of verified pairs.
 
+No task holds a node of more than ``node_rows`` members (of more than ``LAST_ROWS`` at the last
+level). Such a node's rows are dealt to *cells* of bounded size. Each cell gets the node's leaders
+and finds the dense clusters around them; what has to be compared in blocks, cluster with
+neighbourhood and at the last level all with all, is dealt to one cell for each pair of blocks.
+
 Rows of a node whose signatures agree so well that they are nearly sure to match are a *bundle*,
 of which only a spanning forest (or the pairs with the leader) is verified at first. Where one of
 these pairs fails, all pairs of the bundle between different components are verified too.
 
+The result has a row for each document of a group: nothing gathers a group's members in one place.
+
 Defined results: rows with null ``doc_id``, null texts and texts without a word are in no group;
-repeated rows and ties count as copies; a group's id is its smallest ``doc_id``; an empty table
-has no groups; other columns are not read. Where rows with different texts share a ``doc_id``,
-the id is in the groups of each of its texts.
+rows that repeat an id and its text count once (an id that has a text twice needs another id to be
+in a group); ties count as copies; a group's id is its smallest ``doc_id``; an empty table has no
+groups; other columns are not read. Where rows with different texts share a ``doc_id``, the id is
+in the groups of each of its texts.
 """
 
 from __future__ import annotations
@@ -27,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.tables import batched, dropped, few, table, written
+from tessera.llm.tables import batched, dropped, few, free, looked_up, only, table, without, written
 from tessera.llm.words import chunked, mix, words
 
 SIGNATURE = 64
@@ -40,6 +48,12 @@ THRESHOLD = 0.6
 TREES = 4
 LEAF = 96
 MAX_DEPTH = 12
+#: The most members of a node that one task holds, above the last level and at it, and the rows of a cell.
+NODE_ROWS = 50_000
+LAST_ROWS = 4_096
+CELL_ROWS = 16_384
+#: So many leaders of a large node are expected; a few more may be drawn, of which the first 62 count.
+LEADERS = 32
 #: Signatures estimate the similarity; pairs below the threshold by more than this are dropped, those above it by as much are sure enough to stand for others in a bundle.
 SLACK = 0.16
 #: A leader's sure neighbours can only match members that agree with the leader at least so far (triangle inequality, less the estimate's error).
@@ -128,6 +142,19 @@ def _roots(trees: int):
     return roots
 
 
+def _root_sizes(trees: int):
+    """How many of a batch's rows each child of a root gets."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = _matrix(batch.column(0))
+            child = [_children(np.full(len(sig), mix(np.array([r + 1], np.uint64))[0]), sig)[1] for r in range(trees)]
+            node, n = np.unique(np.concatenate(child), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n)], ["node", "n"])
+
+    return sizes
+
+
 def _compare(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, bundle) of the rows within each run of equal ``node`` that may match; all pairs are looked at.
 
@@ -191,10 +218,9 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _clusters(sig: np.ndarray, leaf: int, threshold: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """Takes dense clusters out of a large node. Returns their pairs (i, j, bundle), and the rows that stay."""
-    stay, pairs = np.arange(len(sig)), []
-    tried = 0
+def _clusters(sig: np.ndarray, leaf: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | np.ndarray]:
+    """Takes dense clusters out of a large node: their pairs (i, j, bundle) a part at a time, and at last the rows that stay."""
+    stay, tried = np.arange(len(sig)), 0
     while len(stay) > leaf and tried < 4:
         lead = stay[int(mix(np.array([len(stay) * 8 + tried], np.uint64))[0] % np.uint64(len(stay)))]
         agree = (sig[stay] == sig[lead]).sum(1)
@@ -203,13 +229,26 @@ def _clusters(sig: np.ndarray, leaf: int, threshold: float) -> tuple[list[tuple[
             tried += 1
             continue
         core, shell = stay[sure & (stay != lead)], stay[~sure & (agree >= SHELL * SIGNATURE)]
-        pairs.append((np.full(len(core), lead), core, np.full(len(core), lead)))
-        for x in np.append(core, lead):
-            near = (sig[shell] == sig[x]).sum(1)
-            hit = near >= (threshold - SLACK) * SIGNATURE
-            pairs.append((np.full(int(hit.sum()), x), shell[hit], np.full(int(hit.sum()), -1)))
+        yield np.full(len(core), lead), core, np.full(len(core), lead)
+        for i, j in _blocks(sig, np.append(core, lead), shell, threshold):
+            yield i, j, np.full(len(i), -1)
         stay, tried = stay[~sure], 0
-    return pairs, stay
+    yield stay
+
+
+def _blocks(sig: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of ``left`` and of ``right`` that may match, a part at a time; all pairs are looked at."""
+    others, held, n = np.ascontiguousarray(sig[right]), [], 0
+    for x in left:
+        hit = right[(others == sig[x]).sum(1) >= (threshold - SLACK) * SIGNATURE]
+        if len(hit):
+            held.append((x, hit))
+            n += len(hit)
+        if n > 1 << 17:
+            yield np.repeat([h[0] for h in held], [len(h[1]) for h in held]), np.concatenate([h[1] for h in held])
+            held, n = [], 0
+    if held:
+        yield np.repeat([h[0] for h in held], [len(h[1]) for h in held]), np.concatenate([h[1] for h in held])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -258,9 +297,11 @@ def _level(leaf: int, threshold: float, last: bool):
             for k in np.flatnonzero(size > leaf):
                 rows = np.arange(at[k], at[k + 1])
                 sig = _matrix(raw.slice(at[k], size[k]))
-                found, stay = _clusters(sig, leaf, threshold)
-                if found:
-                    yield pairs(node[rows], rep[rows], *(np.concatenate([f[c] for f in found]) for c in range(3)))
+                for found in _clusters(sig, leaf, threshold):
+                    if isinstance(found, tuple):
+                        yield pairs(node[rows], rep[rows], *found)
+                    else:
+                        stay = found
                 which, child = _children(node[rows][stay], sig[stay])
                 for lo in range(0, len(which), 20000):
                     take = rows[stay[which[lo : lo + 20000]]]
@@ -282,15 +323,108 @@ def _by_node(df: DataFrame) -> DataFrame:
     return df.repartition("node").sortWithinPartitions("node", "rep")
 
 
-def candidates(reps: DataFrame, threshold: float, trees: int, leaf: int, max_depth: int) -> DataFrame:
+def _assign(threshold: float):
+    """Rows of cells, a node's leaders (kind 0) before its others, become rows with the first leader that they surely match and the set of leaders that they are near."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole(batches):
+            cell, rep, kind = (whole.column(c).to_numpy() for c in (0, 2, 4))
+            sig = _matrix(whole.column(3).combine_chunks())
+            at = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            for lo, hi in zip(at[:-1], at[1:]):
+                first = lo + int(np.searchsorted(kind[lo:hi], 1))
+                own = sig[first:hi]
+                lead, leader, near = np.full(hi - first, -1, np.int32), np.zeros(hi - first, np.int64), np.zeros(hi - first, np.int64)
+                for k in range(min(first - lo, 62)):
+                    agree = (own == sig[lo + k]).sum(1)
+                    here = (lead < 0) & (agree >= (threshold + SLACK) * SIGNATURE)
+                    lead[here], leader[here] = k, rep[lo + k]
+                    near |= (agree >= SHELL * SIGNATURE).astype(np.int64) << k
+                part = whole.slice(first, hi - first)
+                yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() for c in (1, 2, 3)] + [pa.array(lead), pa.array(leader), pa.array(near)], ["node", "rep", "sig", "lead", "leader", "near"])
+
+    return step
+
+
+def _cells(threshold: float):
+    """Rows of cells, those of one block (kind 0) before those of the other, become the pairs between the blocks that may match."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole(batches):
+            cell, rep, kind = (whole.column(c).to_numpy() for c in (0, 1, 3))
+            sig = _matrix(whole.column(2).combine_chunks())
+            at = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            for lo, hi in zip(at[:-1], at[1:]):
+                cut = lo + int(np.searchsorted(kind[lo:hi], 1))
+                for i, j in _blocks(sig, np.arange(lo, cut), np.arange(cut, hi), threshold):
+                    i, j = i[rep[i] != rep[j]], j[rep[i] != rep[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
+
+    return step
+
+
+def _across(left: DataFrame, right: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    """(a, b) of the rows of two tables (group, rep, sig) with one group that may match; every pair of blocks is a cell of at most about twice ``cell_rows``."""
+    count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+    sizes = few(written(count(left, "lefts").join(count(right, "rights"), "group"), "sizes"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(sizes, "group").select("group", "rep", "sig", block("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("kind"))
+    two = right.join(sizes, "group").select("group", "rep", "sig", every("lefts").alias("i"), block("rights").alias("j"), F.lit(1).alias("kind"))
+    rows = one.unionByName(two).select(F.xxhash64("group", "i", "j").alias("cell"), "rep", "sig", "kind")
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind", "rep").mapInArrow(_cells(threshold), "a long, b long")
+
+
+def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, child = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)))
+        at = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["node", "rep", "sig"])
+
+
+def _large_nodes(big: DataFrame, leaf: int, threshold: float, last: bool, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """What ``_level`` makes of small nodes, of rows (node, rep, sig, n) of nodes with ``n`` members: pairs, and rows of the children."""
+    salts = F.ceil(F.col("n") / cell_rows).cast("int")
+    leaders = big.where(F.pmod(F.xxhash64("node", "rep"), F.col("n")) < LEADERS).select("node", "rep", "sig", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"))
+    rows = leaders.unionByName(big.select("node", "rep", "sig", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"), F.lit(1).alias("kind")))
+    cells = rows.select(F.xxhash64("node", "salt").alias("cell"), "node", "rep", "sig", "kind").repartition("cell").sortWithinPartitions("cell", "kind", "rep")
+    assigned = written(cells.mapInArrow(_assign(threshold), "node long, rep long, sig binary, lead int, leader long, near long"), "assigned")
+    led = few(written(assigned.where("lead >= 0").groupBy("node", "lead", "leader").count().where(F.col("count") > max(8, leaf // 4)).drop("count"), "led"))
+    core = assigned.join(led, ["node", "lead", "leader"], "left_semi")
+    stay = assigned.join(led, ["node", "lead", "leader"], "left_anti").select("node", "rep", "sig")
+    group = F.xxhash64("node", "leader")
+    star = core.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"), group.alias("bundle")).where("a <> b")
+    shell = assigned.withColumnsRenamed({"lead": "own", "leader": "owner"}).join(led, "node").where("own <> lead and (shiftright(near, lead) & 1) = 1")
+    pairs = _across(core.select(group.alias("group"), "rep", "sig"), shell.select(group.alias("group"), "rep", "sig"), threshold, cell_rows)
+    if last:
+        rest = stay.select(F.xxhash64("node").alias("group"), "rep", "sig")
+        pairs = pairs.unionByName(_across(rest, rest, threshold, cell_rows))
+    return star.unionByName(pairs.withColumn("bundle", F.lit(None).cast("long"))), stay.mapInArrow(_branch, "node long, rep long, sig binary")
+
+
+def candidates(reps: DataFrame, threshold: float, trees: int, leaf: int, max_depth: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct pairs (a, b, bundle) that a chosen path brings together; ``bundle`` is null for pairs that stand for no others."""
+    last_rows, cell_rows = min(LAST_ROWS, node_rows), min(CELL_ROWS, node_rows)
     level = reps.select("rep", "sig").mapInArrow(_roots(trees), "node long, rep long, sig binary")
-    found, at = None, None
+    sizes = reps.select("sig").mapInArrow(_root_sizes(trees), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    found, at, any_large = None, None, True
     for depth in range(max_depth):
-        out = written(_by_node(level).mapInArrow(_level(leaf, threshold, depth == max_depth - 1), _LEVEL), f"level{depth}")
-        pairs = written(out.where("a is not null").select("a", "b", "bundle").distinct(), f"pairs{depth}")
+        last, large = depth == max_depth - 1, None
+        if any_large or last:  # children of nodes that aren't large can't be
+            counted = sizes if not depth else level.groupBy("node").agg(F.count("*").alias("n"))
+            large = written(counted.where(F.col("n") > (last_rows if last else node_rows)), "large")
+            any_large = not large.isEmpty()
+        rows = level.join(few(large.select("node")), "node", "left_anti") if any_large and large is not None else level
+        out = written(_by_node(rows).mapInArrow(_level(leaf, threshold, last), _LEVEL), f"level{depth}")
+        pairs = out.where("a is not null").select("a", "b", "bundle")
+        below = out.where("node is not null").select("node", "rep", "sig")
+        if any_large and large is not None:
+            more, children = _large_nodes(level.join(few(large), "node"), leaf, threshold, last, cell_rows)
+            pairs = pairs.unionByName(more)
+            below = below if last else below.unionByName(children)
+        pairs = written(pairs.distinct(), f"pairs{depth}")
         found = pairs if found is None else found.unionByName(pairs)
-        level = out.where("node is not null").select("node", "rep", "sig")
+        level = below
         if at is not None:
             dropped(at)
         at = out
@@ -395,44 +529,63 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: flo
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     wanted = written(reps.select("digest", "doc_id").join(ends, "digest", "left_semi"), "wanted")
     # several rows may share an id, so that the digest decides which of their sets is meant
-    found = docs.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sets, "digest long, members binary")
+    found = only(docs, "doc_id", wanted.select("doc_id"), exact=False).mapInArrow(_sets, "digest long, members binary")
     members = written(found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "members")
     side = [members.select(F.col("digest").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
     checked = written(pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(_jaccard(threshold), "a long, b long"), "checked")
-    dropped(members)
+    dropped(members, wanted)
     return checked
 
 
-def _grouped(docs: DataFrame, text: str, key: str, threshold: float, trees: int, leaf: int, max_depth: int) -> DataFrame:
-    """(root, digest, doc_id) of every row that has a near copy or an equal text in another row."""
+def _grouped(docs: DataFrame, text: str, key: str, threshold: float, trees: int, leaf: int, max_depth: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(root, digest, doc_id) of every id with a near copy or an equal text in another row, once for each text; and (digest, links) of the texts with near copies."""
     docs = batched(docs).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
     sigs = written(docs.mapInArrow(_signatures, "doc_id long, digest long, sig binary"), "signatures")
-    reps = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "reps")
-    pairs = written(candidates(reps.select(F.col("digest").alias("rep"), "sig"), threshold, trees, leaf, max_depth), "candidates")
+    reps = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.first("sig").alias("sig")), "reps")
+    pairs = written(candidates(reps.select(F.col("digest").alias("rep"), "sig"), threshold, trees, leaf, max_depth, node_rows), "candidates")
     checked = _verified(docs, reps, pairs.select("a", "b").distinct(), threshold)
     roots = components(checked)
     more = written(left_out(pairs, checked, roots, reps, threshold), "left_out")
     if not more.isEmpty():
-        roots = components(checked.unionByName(_verified(docs, reps, more, threshold)))
+        checked = checked.unionByName(_verified(docs, reps, more, threshold))
+        roots = components(checked)
     linked = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "digest")
-    grouped = reps.select("digest", "n").join(linked, "digest", "left").where("root is not null or n > 1").select("digest", F.coalesce("root", "digest").alias("root"))
-    return sigs.select("digest", "doc_id").join(grouped, "digest").select("root", "digest", "doc_id")
+    grouped = written(reps.select("digest", "n", "doc_id", "most").join(linked, "digest", "left").where("root is not null or most > doc_id").select("digest", "n", F.coalesce("root", "digest").alias("root")), "grouped")
+    ids = sigs.select("digest", "doc_id")
+    rows = written(looked_up(ids, "digest", grouped, "n").select("root", "digest", "doc_id").distinct(), "members")
+    links = written(checked.select(F.col("a").alias("digest")).unionByName(checked.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count("*").alias("links")), "links")
+    dropped(sigs, reps, pairs, more, grouped)
+    return rows, links
+
+
+def _by_root(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    return looked_up(rows, "root", written(facts, "groups"), "n_docs")
 
 
 def near_duplicate_groups(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH
+    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH, node_rows: int = NODE_ROWS
 ) -> DataFrame:
-    """(group_id, n_docs, doc_ids) of each group of near copies; see the module for what counts.
+    """(doc_id, group_id, n_docs, links) of each document that has near copies; see the module for what counts.
+
+    ``links`` are the verified pairs of the document's text with other texts: all pairs that the
+    trees bring together, but in a dense cluster those of a spanning forest. Copies of one text
+    share its links and needn't have any.
 
     Only ids and 128-byte signatures are shuffled through the trees; sets of hashes move once
     more, for the pairs to verify.
     """
-    groups = _grouped(docs, text, key, threshold, trees, leaf, max_depth).groupBy("root").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids")).where(F.size("doc_ids") > 1)
-    return groups.select(F.element_at("doc_ids", 1).alias("group_id"), F.size("doc_ids").alias("n_docs"), "doc_ids")
+    rows, links = _grouped(docs, text, key, threshold, trees, leaf, max_depth, node_rows)
+    linked = rows.join(links, "digest", "left").select("root", "doc_id", F.coalesce("links", F.lit(0)).alias("links"))
+    # an id whose texts are all in one group is one document of it
+    once = written(linked.groupBy("root", "doc_id").agg(F.sum("links").cast("int").alias("links")), "once")
+    groups = once.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.max("doc_id").alias("most"), F.count("*").cast("int").alias("n_docs")).where("most > group_id")
+    found = _by_root(once, groups).select("doc_id", "group_id", "n_docs", "links")
+    dropped(rows, links)
+    return found
 
 
-def _digested(place: int):
-    """Adds to each row the digest of its text's set; null for texts without a word."""
+def _digested(place: int, name: str):
+    """Adds to each row the digest of its text's set, as ``name``; null for texts without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,13 +596,13 @@ def _digested(place: int):
                 at = np.flatnonzero(np.diff(first))
                 if len(at):
                     digest[lo + at], some[lo + at] = _digests(h, first[at]), True
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, mask=~some)], [*batch.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, mask=~some)], [*batch.schema.names, name])
 
     return run
 
 
 def without_near_duplicates(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH
+    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, max_depth: int = MAX_DEPTH, node_rows: int = NODE_ROWS
 ) -> DataFrame:
     """``docs`` with one row of each group, all other rows, and one of each repeated row.
 
@@ -457,21 +610,25 @@ def without_near_duplicates(
     of the least digest, of equal digests the least row. Rows with a null id stay as they are, and
     those without a word too, but for repeated ones.
     """
+    columns = docs.columns
+    grouped, links = _grouped(docs, text, key, threshold, trees, leaf, max_depth, node_rows)
     # one id may be in a group several times, with texts that are near or equal
-    grouped = _grouped(docs, text, key, threshold, trees, leaf, max_depth).withColumn("first", F.min(F.struct("doc_id", "digest")).over(Window.partitionBy("root")))
-    gone = written(grouped.where(F.struct("doc_id", "digest") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
-    ids = docs.select(F.col(key).cast("long").alias("_id")).where("_id is not null")
-    repeated = written(ids.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
-    rows = docs.withColumn("_id", F.col(key).cast("long"))
+    least = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("n_docs"))
+    id_, digest = free("_id", docs), free("_digest", docs)
+    gone = written(_by_root(grouped, least).where(F.struct("doc_id", "digest") != F.col("first")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct(), "gone")
+    dropped(grouped, links)
+    ids = docs.select(F.col(key).cast("long").alias(id_)).where(F.col(id_).isNotNull())
+    repeated = written(ids.groupBy(id_).count().where("count > 1").select(id_), "repeated")
+    rows = docs.withColumn(id_, F.col(key).cast("long"))
     # the id alone tells a row that doesn't share it
-    once = rows.join(few(gone.select("_id").unionByName(repeated).distinct()), "_id", "left_anti").select(docs.columns)
+    once = without(rows, id_, gone.select(id_).unionByName(repeated)).select(columns)
     if repeated.isEmpty():
         return once
-    several = rows.join(few(repeated), "_id", "left_semi").select(*docs.columns, "_id")
-    several = batched(several).mapInArrow(_digested(docs.columns.index(text)), StructType([*several.schema.fields, StructField("_digest", LongType())]))
-    several = several.join(gone, ["_id", "_digest"], "left_anti")
-    least = several.where("_digest is not null").groupBy("_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.unionByName(least).unionByName(several.where("_digest is null").select(docs.columns).dropDuplicates())
+    several = only(rows, id_, repeated).select(*columns, id_)
+    several = batched(several).mapInArrow(_digested(columns.index(text), digest), StructType([*several.schema.fields, StructField(digest, LongType())]))
+    several = several.join(gone, [id_, digest], "left_anti")
+    first = several.where(F.col(digest).isNotNull()).groupBy(id_, digest).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(several.where(F.col(digest).isNull()).select(columns).dropDuplicates())
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

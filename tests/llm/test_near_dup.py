@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import near_dup as nd
+from tessera.llm import tables
 from tessera.llm.words import words_of
 
 SCHEMA = "doc_id long, text string, sig string, rep long, a long"
@@ -28,7 +29,11 @@ def _brute(rows, threshold):
 
 def _groups(spark, rows, **settings):
     df = spark.createDataFrame([(*r, "x", 5, 6) for r in rows], SCHEMA)
-    return [r.doc_ids for r in nd.near_duplicate_groups(df, **settings).collect()]
+    groups = {}
+    for r in nd.near_duplicate_groups(df, **settings).collect():
+        groups.setdefault(r.group_id, []).append((r.doc_id, r.n_docs))
+    assert all(g == min(members)[0] and {n for _, n in members} == {len(members)} for g, members in groups.items())
+    return [sorted(d for d, _ in members) for members in groups.values()]
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +52,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("leaf", [8, 96])
-def test_recall_against_brute_force(spark, corpus, leaf):
-    groups = _groups(spark, corpus, leaf=leaf)
+@pytest.mark.parametrize("settings", [{"leaf": 8}, {}, {"leaf": 8, "node_rows": 20}, {"leaf": 4, "node_rows": 12, "max_depth": 2}])
+def test_recall_against_brute_force(spark, corpus, settings):
+    groups = _groups(spark, corpus, **settings)
     at = {d: k for k, g in enumerate(groups) for d in g}
     truth = list(_brute(corpus, nd.THRESHOLD))
     found = sum(at.get(a, -1) == at.get(b, -2) for a, b in truth)
@@ -100,7 +105,7 @@ def test_large_node_gives_up_its_clusters():
     sig = rng.integers(0, 65536, (400, nd.SIGNATURE), dtype=np.uint16)
     sig[:200] = base
     sig[np.arange(200), rng.integers(0, nd.SIGNATURE, 200)] += 1
-    pairs, stay = nd._clusters(sig, 50, nd.THRESHOLD)
+    *pairs, stay = nd._clusters(sig, 50, nd.THRESHOLD)
     assert set(stay.tolist()) == set(range(200, 400)) and {int(x) for p in pairs for x in p[1]} | {int(p[0][0]) for p in pairs if len(p[0])} == set(range(200))
 
 
@@ -117,6 +122,33 @@ def _false_pair(rng):
                 return texts[i], texts[j]
 
 
+def test_cells_look_at_all_pairs_of_a_large_node(spark):
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 65536, (300, nd.SIGNATURE), dtype=np.uint16)
+    for k in range(120):  # chains of rows that agree, most of them far from any leader's cluster
+        sig[k + 1, : 40 + k % 20] = sig[k, : 40 + k % 20]
+    rows = [(1 + (k >= 250), k, bytearray(sig[k].tobytes())) for k in range(300)]
+    frame = spark.createDataFrame(rows, "node long, rep long, sig binary").selectExpr("*", "if(node = 1, 250L, 50L) as n")
+    pairs, _ = nd._large_nodes(frame, 4, nd.THRESHOLD, True, 16)
+    rows, bundles = pairs.collect(), {}
+    for r in rows:
+        if r.bundle is not None:
+            bundles.setdefault(r.bundle, set()).update((r.a, r.b))
+    got = {(r.a, r.b) for r in rows}
+    near = {(a, b) for a in range(250) for b in range(a + 1, 250) if (sig[a] == sig[b]).sum() >= (nd.THRESHOLD - nd.SLACK) * nd.SIGNATURE}
+    assert near and got <= near and all(any({a, b} <= members for members in bundles.values()) for a, b in near - got)
+
+
+def test_repeated_rows_are_no_group(spark):
+    assert _groups(spark, [(1, "one text here"), (1, "one text here"), (2, "another one there")]) == []
+
+
+def test_links_count_verified_pairs(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c d e f g h"), (4, "x y")]
+    df = spark.createDataFrame([(*r, "x", 5, 6) for r in rows], SCHEMA)
+    assert sorted(tuple(r) for r in nd.near_duplicate_groups(df).collect()) == [(1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 3, 1)]
+
+
 def test_sure_signatures_are_verified(spark):
     one, other = _false_pair(random.Random(4))
     assert _groups(spark, [(1, one), (2, other), (3, one + " end")]) == [[1, 3]]
@@ -140,3 +172,28 @@ def test_rows_that_share_an_id_go_by_their_text(spark):
     eight = [r for r in got if r[0] == 8]
     assert len(eight) == 1 and eight[0] in rows
     assert sorted((r for r in got if r[0] != 8), key=str) == sorted([(3, x, "s"), (7, y, "s"), (7, clean, "s"), (5, "same  WORDS", "s"), (5, "", "s"), (6, None, "s"), (None, x, "s")], key=str)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_sets_of_ids_too_large_to_broadcast(spark, limit):
+    rows = spark.createDataFrame([(k, None if k % 10 == 0 else k % 37, "x") for k in range(300)], "n long, _maybe long, marks string")
+    ids = spark.createDataFrame([(k,) for k in (1, 5, 5, 36, 400)], "id long")
+    inside = {k for k in range(300) if k % 10 and k % 37 in (1, 5, 36)}
+    assert {r.n for r in tables.only(rows, "_maybe", ids, limit).collect()} == inside
+    rest = tables.without(rows, "_maybe", ids, limit)
+    assert sorted(r.n for r in rest.collect()) == sorted(set(range(300)) - inside) and rest.columns == rows.columns
+    assert inside <= {r.n for r in tables.only(rows, "_maybe", ids, limit, exact=False).collect()}
+
+
+def test_bitmap_in_the_driver(spark):
+    values = np.random.default_rng(3).integers(-(2**62), 2**62, 500)
+    power = tables.bits(500)
+    marks = tables.held(tables.bitmap(spark.createDataFrame([(int(v),) for v in values], "v long"), power), power)
+    assert tables.among(marks, values).all() and tables.among(marks, values * 31 + 7).mean() < 0.15
+
+
+def test_facts_of_hot_keys(spark):
+    rows = tables.written(spark.createDataFrame([(k % 3, k) for k in range(30)] + [(9, 99)], "key int, v int"), "rows")
+    facts = tables.written(spark.createDataFrame([(0, 10, "a"), (1, 3, "b"), (9, 1, "c")], "key int, n long, fact string"), "facts")
+    got = tables.looked_up(rows, "key", facts, "n", hot=5)
+    assert sorted((r.v, r.fact) for r in got.collect()) == sorted([(k, "ab"[k % 3]) for k in range(30) if k % 3 < 2] + [(99, "c")])
