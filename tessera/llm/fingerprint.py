@@ -3,8 +3,10 @@
 The canonical form of a text is its NFC normalisation in small letters, with every run of white
 space as one blank and none at the ends. Documents are grouped by the 128-bit xxHash of the form;
 within a group of several, the forms themselves are compared byte by byte, so that a collision of
-the hash can't join two texts. Only ids, digests and, for documents whose digest repeats, forms are
-shuffled.
+the hash can't join two texts. A bitmap of the digests that repeat tells which forms have to be
+compared; equal forms become one row in each task before any are shuffled, so that a page with
+very many copies goes over the network once for each task that read it. Small letters are those of
+the Unicode lower-case mapping: ``ß`` and ``ss`` stay different.
 
 Every document with a text has a row with the least id of its group (``canonical_id``) and the
 group's number of rows (``copies``).
@@ -24,15 +26,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import batched, table, written
+from tessera.llm.tables import among, batched, bitmap, bits, held, looked_up, table, written
 
 Digest = Callable[[pa.Buffer], bytes]
 FORM = "NFC"
-#: Up to so many repeated digests go to every executor, which then keeps only the forms that they ask for; beyond that forms and digests meet in a join.
-BROADCAST_DIGESTS = 4_000_000
 _FORM = "doc_id long, digest binary, form binary"
 _BLANK = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -51,40 +50,53 @@ def _digests(form: str, digest: Digest):
     return run
 
 
-def _forms(form: str, digest: Digest, repeated):
-    """Forms of the documents whose digest is among ``repeated`` (first 8 bytes, sorted; None: of all)."""
+def _heads(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), ">i8").astype(np.int64)
+
+
+def _forms(form: str, digest: Digest, marks):
+    """Forms of the documents whose digest may be one of those that are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = canonical(batch.column(1), form)
             digests = [digest(x.as_buffer()) for x in texts]
-            keep = pa.array(np.arange(len(digests)))
-            if repeated is not None:
-                heads = np.frombuffer(b"".join(d[:8] for d in digests), ">i8")
-                at = np.minimum(np.searchsorted(repeated.value, heads), len(repeated.value) - 1)
-                keep = pa.array(np.flatnonzero(repeated.value[at] == heads))
+            keep = pa.array(np.flatnonzero(among(marks.value, _heads(digests))))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array(digests, pa.binary()).take(keep), texts.take(keep).cast(pa.large_binary()).cast(pa.binary())], ["doc_id", "digest", "form"])
 
     return run
 
 
-def exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", form: str = FORM, broadcast_digests: int = BROADCAST_DIGESTS, digest: Digest = xxhash.xxh3_128_digest) -> DataFrame:
+def exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", form: str = FORM, digest: Digest = xxhash.xxh3_128_digest, hot: int | None = None) -> DataFrame:
     """(doc_id, canonical_id, copies) of every document with a text."""
     rows = batched(docs).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("text is not null")
     digests = written(rows.mapInArrow(_digests(form, digest), "doc_id long, digest binary"), "digests")
-    alone = digests.groupBy("digest").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id")).where("copies = 1").select("doc_id", F.col("doc_id").alias("canonical_id"), "copies")
-    several = digests.groupBy("digest").count().where("count > 1").select("digest")
-    heads = several.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head")).limit(broadcast_digests + 1).toArrow().column("head").to_numpy()
-    if len(heads) <= broadcast_digests:
-        if not len(heads):
-            return alone
-        few = docs.sparkSession.sparkContext.broadcast(np.sort(heads))
-        forms = rows.mapInArrow(_forms(form, digest, few), _FORM)
-    else:
-        forms = rows.mapInArrow(_forms(form, digest, None), _FORM).join(several, "digest", "left_semi")
-    same = Window.partitionBy("digest", "form")
-    equal = forms.select("doc_id", F.min("doc_id").over(same).alias("canonical_id"), F.count("*").over(same).alias("copies"), F.count("*").over(Window.partitionBy("digest")).alias("n")).where("n > 1").drop("n")
-    return alone.unionByName(equal)
+    counted = written(digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("canonical_id")), "counted")
+    alone = counted.where("n = 1").select(F.col("canonical_id").alias("doc_id"), "canonical_id", F.col("n").alias("copies"))
+    several = counted.where("n > 1").select("digest", "n")
+    found = several.count()
+    if not found:
+        return alone
+    forms = _forms_of(rows, several, found, form, digest)
+    texts = forms.groupBy("digest", "form").agg(F.count("*").alias("n"), F.min("doc_id").alias("canonical_id"))
+    facts = written(texts.groupBy("digest").agg(F.count("*").alias("forms"), F.sum("n").alias("n"), F.min("canonical_id").alias("canonical_id")).where("n > 1"), "facts")
+    settings = {"hot": hot} if hot else {}
+    equal = looked_up(digests, "digest", facts.where("forms = 1").select("digest", "n", "canonical_id"), "n", **settings).select("doc_id", "canonical_id", F.col("n").alias("copies"))
+    unequal = facts.where("forms > 1").select("digest", "n")
+    if (collided := unequal.count()) == 0:
+        return alone.unionByName(equal)
+    # texts of one digest that differ: their forms are told apart by themselves
+    forms = written(_forms_of(rows, unequal, collided, form, digest).join(unequal.select("digest"), "digest", "left_semi"), "forms")
+    each = forms.groupBy("digest", "form").agg(F.count("*").alias("copies"), F.min("doc_id").alias("canonical_id"))
+    return alone.unionByName(equal).unionByName(forms.join(each, ["digest", "form"]).select("doc_id", "canonical_id", "copies"))
+
+
+def _forms_of(rows: DataFrame, wanted: DataFrame, n: int, form: str, digest: Digest) -> DataFrame:
+    """(doc_id, digest, form) of all documents with one of the wanted digests, and of few others."""
+    power = bits(n)
+    heads = wanted.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head"))
+    marks = rows.sparkSession.sparkContext.broadcast(held(bitmap(heads, power), power))
+    return rows.mapInArrow(_forms(form, digest, marks), _FORM)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
