@@ -6,7 +6,10 @@ for a uniform permutation of all rows. Each task draws its own row of the matrix
 a binary tree over the partitions down to its leaf it splits the columns' totals between the
 halves, by generators that the nodes seed, so that all tasks agree on a matrix that nobody holds.
 A task deals its rows to the shards by a random permutation of its counts, the rows are exchanged,
-and each shard is put in the order of random keys that were drawn with the deal.
+and each shard is put in the order of random keys that were drawn with the deal. The exchange goes
+to *blocks* of a shard, ranges of the keys with about ``block_rows`` rows, so that no task sorts a
+whole shard. Deal and keys depend on the counts alone: how many rows each block gets, and thus
+where its positions begin, is found by drawing them once more without the rows.
 
 The first of two passes counts the rows of each partition (a scan without columns), and the second
 stops with an error should a partition hold another number. A table whose plan shuffles, so that its
@@ -37,6 +40,9 @@ from tessera.llm.tables import batched, table, written
 
 SHARDS = 16
 SEED = 20
+BLOCK_ROWS = 1 << 12
+#: Blocks are larger where there would be more than about so many, since each has a row in the driver.
+MOST_BLOCKS = 1 << 20
 _EXACT = 10**9 - 1
 
 
@@ -91,7 +97,32 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.full(shards, rows // shards, np.int64) + (np.arange(shards) < rows % shards)
 
 
-def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def _drawn(sizes: np.ndarray, per_shard: np.ndarray, p: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, key) of each row of partition p."""
+    size = int(sizes[p]) if p < len(sizes) else 0
+    counts = row_of(sizes, per_shard, p, seed) if size else np.zeros(len(per_shard), np.int64)
+    rng = np.random.default_rng([seed, 0, p])
+    return rng.permutation(np.repeat(np.arange(len(per_shard), dtype=np.int32), counts)), rng.integers(0, 2**63, size)
+
+
+def _begins(spark: SparkSession, handle, partitions: int, shards: int, power: int, seed: int) -> DataFrame:
+    """(shard, block, before): the first position of each of the ``2 ** power`` blocks of each shard; a row for each block."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                shard, key = _drawn(*handle.value, p, seed)
+                cell, n = np.unique((shard.astype(np.int64) << power) + (key >> (63 - power)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    counted = spark.range(0, partitions, 1, max(1, min(partitions, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((shards, 1 << power), np.int64)
+    n.ravel()[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    cells = pa.table({"shard": np.repeat(np.arange(shards, dtype=np.int32), 1 << power), "block": np.tile(np.arange(1 << power, dtype=np.int32), shards), "before": (n.cumsum(1) - n).ravel()})
+    return spark.createDataFrame(cells)
+
+
+def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with ``shard`` and ``position``; see the module."""
     docs = docs.drop("shard", "position")
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
@@ -101,29 +132,34 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
     sizes[counted.column("p").to_numpy()] = counted.column("count").to_numpy()
     handle = docs.sparkSession.sparkContext.broadcast((sizes, shard_sizes(int(sizes.sum()), shards)))
     names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = max(block_rows, int(sizes.sum()) / MOST_BLOCKS)
+    power = max(0, math.ceil(math.log2(max(1, int(sizes.sum()) / shards / rows))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, per_shard = handle.value
-        p = TaskContext.get().partitionId()
-        size = int(sizes[p]) if p < len(sizes) else 0
-        counts = row_of(sizes, per_shard, p, seed) if size else np.zeros(len(per_shard), np.int64)
-        rng = np.random.default_rng([seed, 0, p])
-        shard = rng.permutation(np.repeat(np.arange(len(per_shard), dtype=np.int32), counts))
-        at = 0
+        p, at = TaskContext.get().partitionId(), 0
+        shard, key = _drawn(*handle.value, p, seed)
         for batch in batches:
             n = batch.num_rows
-            if at + n > size:
-                raise RuntimeError(f"partition {p} has more rows than the {size} that were counted")
+            if at + n > len(shard):
+                raise RuntimeError(f"partition {p} has more rows than the {len(shard)} that were counted")
+            here = key[at : at + n]
             place = np.arange(at, at + n) + (p << 40)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard[at : at + n]), pa.array(rng.integers(0, 2**63, n)), pa.array(place)], [*names, "shard", "key", "place"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard[at : at + n]), pa.array((here >> (63 - power)).astype(np.int32)), pa.array(here), pa.array(place)], [*names, "shard", "block", "key", "place"])
             at += n
-        if at != size:
-            raise RuntimeError(f"partition {p} has {at} rows, {size} were counted")
+        if at != len(shard):
+            raise RuntimeError(f"partition {p} has {at} rows, {len(shard)} were counted")
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]
-    dealt = batched(docs.toDF(*names)).mapInArrow(deal, T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("place", T.LongType())]))
-    position = F.row_number().over(Window.partitionBy("shard").orderBy("key", "place")) - 1
-    return dealt.withColumn("position", position).drop("key", "place").toDF(*docs.columns, "shard", "position")
+    added = [T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("place", T.LongType())]
+    dealt = batched(docs.toDF(*names)).mapInArrow(deal, T.StructType([*fields, *added]))
+    turn = F.row_number().over(Window.partitionBy("shard", "block").orderBy("key", "place")) - 1
+    if power:
+        begins = F.broadcast(_begins(docs.sparkSession, handle, len(sizes), shards, power, seed))
+        dealt = dealt.withColumn("turn", turn).join(begins, ["shard", "block"])
+        position = F.col("turn") + F.col("before")
+    else:
+        position = turn.cast("long")
+    return dealt.select(*names, "shard", position.alias("position")).toDF(*docs.columns, "shard", "position")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

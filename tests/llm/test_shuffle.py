@@ -34,11 +34,11 @@ def test_large_draws_agree_with_the_exact_ones(monkeypatch):
     assert abs(sh.hypergeometric(rng, 3 * 10**10, 7 * 10**10, 10**9) / 3e8 - 1) < 0.001
 
 
-@pytest.mark.parametrize("shards", [1, 4, 300])
-def test_every_row_once(spark, shards):
+@pytest.mark.parametrize("shards, block_rows", [(1, 8), (4, sh.BLOCK_ROWS), (4, 9), (300, 1)])
+def test_every_row_once(spark, shards, block_rows):
     rows = [(k % 90, None if k % 7 == 0 else f"t{k % 50}", "old", 1) for k in range(200)] + [(None, "", "old", 1), (5, "x" * 300000, "old", 1)]
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string, shard string, key int")
-    out = sh.shuffled(docs, shards)
+    out = sh.shuffled(docs, shards, block_rows=block_rows)
     assert out.columns == ["doc_id", "text", "key", "shard", "position"]
     got = out.collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r[0]), str(r[1])) for r in rows)
@@ -48,6 +48,12 @@ def test_every_row_once(spark, shards):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_blocks_change_nothing(spark):
+    docs = spark.range(1000, numPartitions=7)
+    one, many = (sorted(map(tuple, sh.shuffled(docs, 3, block_rows=n).collect())) for n in (1 << 20, 10))
+    assert one == many
+
+
 def test_rows_meet_every_place_equally_often(spark):
     docs = spark.range(12, numPartitions=3)
     place = np.zeros((12, 12))
