@@ -1,10 +1,13 @@
 """Conversations as token ids with a training mask.
 
 A conversation is rendered as one text: for every turn a header with the role, the turn's text and
-an end mark. The text is encoded once, with the place of every token in it. The turns of ``trained``
-roles are spans of the text (from the first character after the header to the end of the mark), and
-a token is trained where it begins within one of them, which a binary search over the spans' sorted
-begins tells for all tokens at once. The template's marks are encoded as the text that they are.
+an end mark. The text is encoded once; a byte-level vocabulary spells it without loss, so that the
+running sum of the tokens' lengths gives the place of each. The turns of ``trained`` roles are spans
+of the text (from the first byte after the header to the end of the mark). A token is trained where
+[its begin, its end) and a span have a byte in common: a binary search over the spans' sorted ends
+finds for all tokens at once the first span that ends after the token's begin. A token that lies
+across the border of a span, as line breaks at both sides of it do, is thus trained. The template's
+marks are encoded as the text that they are.
 
 Defined results: turns are in the order of their number (unknown ones first), of equal numbers in
 the order of role and text; rows that repeat exactly count once; a null role is an untrained turn
@@ -14,7 +17,6 @@ conversation; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,62 +25,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.encoding import FOLDER
+from tessera.llm.encoding import RANKS, encoder, token_ids
 from tessera.llm.tables import batched, table
 
-TOKENIZER = f"{FOLDER}/byte_bpe_50k.json"
 HEADER, END = "<|im_start|>{role}\n", "<|im_end|>\n"
 TRAINED = ("assistant",)
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str = TOKENIZER):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+def lengths(path: str = RANKS) -> np.ndarray:
+    """How many bytes each token stands for."""
+    found = encoder(path)
+    size = np.zeros(found.n_vocab, np.int64)
+    for token in range(found.n_vocab):
+        try:
+            size[token] = len(found.decode_single_token_bytes(token))
+        except KeyError:
+            continue  # an id that nothing has
+    return size
 
 
 def rendered(turns: list[tuple[str | None, str | None]], trained: tuple[str, ...] = TRAINED, header: str = HEADER, end: str = END) -> tuple[str, np.ndarray, np.ndarray]:
-    """The text, and the sorted begins and ends of its trained spans."""
+    """The text, and the sorted begins and ends of its trained spans, in bytes."""
     parts, begins, ends, at = [], [], [], 0
     for role, text in turns:
         head, body = header.replace("{role}", role or ""), (text or "") + end
+        first = at + len(head.encode())
+        at = first + len(body.encode())
         if role in trained:
-            begins.append(at + len(head))
-            ends.append(at + len(head) + len(body))
+            begins.append(first)
+            ends.append(at)
         parts += [head, body]
-        at += len(head) + len(body)
     return "".join(parts), np.array(begins, np.int64), np.array(ends, np.int64)
 
 
-def masked(start: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a token that starts at ``start`` lies in one of the spans."""
+def masked(size: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each of the tokens of ``size`` bytes that follow each other shares a byte with one of the spans."""
     if not len(begins):
-        return np.zeros(len(start), bool)
-    span = np.searchsorted(begins, start, "right") - 1
-    return (span >= 0) & (start < ends[np.maximum(span, 0)])
+        return np.zeros(len(size), bool)
+    last = np.cumsum(size)
+    span = np.searchsorted(ends, last - size, "right")
+    return (span < len(begins)) & (begins[np.minimum(span, len(begins) - 1)] < last)
 
 
-def training_rows(conversations: DataFrame, path: str = TOKENIZER, trained: tuple[str, ...] = TRAINED, header: str = HEADER, end: str = END) -> DataFrame:
+def training_rows(conversations: DataFrame, path: str = RANKS, trained: tuple[str, ...] = TRAINED, header: str = HEADER, end: str = END) -> DataFrame:
     """(conv_id, turns, n_tokens, n_trained, tokens, mask) of every conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        size = lengths(path)
         for batch in batches:
-            ids, masks, sizes = [], [], []
-            for turns in batch.column(1).to_pylist():
-                text, begins, ends = rendered([(t["role"], t["text"]) for t in turns], trained, header, end)
-                e = encode(text, add_special_tokens=False)
-                ids.append(np.array(e.ids, np.int32))
-                masks.append(masked(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], begins, ends))
-                sizes.append(len(turns))
+            turns = batch.column(1)
+            roles, texts = (turns.flatten().field(k).to_pylist() for k in (1, 2))
+            first = turns.offsets.to_numpy() - turns.offsets[0].as_py()
+            ids, masks = [], []
+            for lo, hi in zip(first[:-1], first[1:]):
+                text, begins, ends = rendered(list(zip(roles[lo:hi], texts[lo:hi])), trained, header, end)
+                ids.append(token_ids(text, path))
+                masks.append(masked(size[ids[-1]], begins, ends))
             n = [len(x) for x in ids]
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array([int(m.sum()) for m in masks], pa.int32()), pa.ListArray.from_arrays(offsets, flat(ids, np.int32)), pa.ListArray.from_arrays(offsets, flat(masks, np.int8))], ["conv_id", "turns", "n_tokens", "n_trained", "tokens", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int32)), pa.array(n, pa.int32()), pa.array([int(m.sum()) for m in masks], pa.int32()), pa.ListArray.from_arrays(offsets, flat(ids, np.int32)), pa.ListArray.from_arrays(offsets, flat(masks, np.int8))], ["conv_id", "turns", "n_tokens", "n_trained", "tokens", "mask"])
 
     turn = F.struct(conversations["turn"].cast("long").alias("turn"), conversations["role"].cast("string").alias("role"), conversations["text"].cast("string").alias("text"))
     whole = conversations.select(conversations["conv_id"].alias("conv_id"), turn.alias("turn")).where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
