@@ -8,13 +8,13 @@ of ``match`` words is left. An item is contained where the marked tiles cover at
 ``threshold`` of its words, in whatever order they stand in the document.
 
 Items of fewer than ``match`` words are looked up as wholes. Up to ``broadcast_seeds`` hashes of the
-benchmark go to every executor; beyond that both sides meet in a join on the hash, with equal
-results.
+benchmark go to every executor; beyond that only their bitmap does, and the runs of documents that
+it lets through meet the benchmark's in a join on the hash, with equal results.
 
 Defined results: rows with null id or text, and items with null id or text or without a word, match
 nothing; an item text under several ids is reported for each; rows that share an id, of documents
-or of items, are tiled each for itself, and the pair gets the best of them; an empty table gives no rows; other columns are not
-read. Between equally long matches the one that starts first in the item, then in the document, is
+or of items, are tiled each for itself, and the pair gets the best of them; an empty table gives no
+rows; other columns are not read. Between equally long matches the one that starts first in the item, then in the document, is
 marked first.
 """
 
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import batched, table
+from tessera.functions.text import short_id
+from tessera.llm.tables import among, batched, bitmap, bits, free, held, table, without, written
 from tessera.llm.words import chunked, mix, words
 
 MATCH = 5
@@ -183,6 +184,9 @@ def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], thresh
     """The pairs of ``docs``, whose ``doc_id`` may be a long or a binary digest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.binary() if kind == "binary" else pa.int64()
+    known = seeds.select("seed").distinct()
+    power = bits(known.count())
+    marks = docs.sparkSession.sparkContext.broadcast(held(bitmap(known, power), power))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,6 +196,8 @@ def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], thresh
                 own = np.add.reduceat(np.append(mix(w.hash * np.uint64(3) + np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], np.diff(w.first)).astype(np.uint64)), np.uint64(0)), np.minimum(w.first[:-1], len(w.hash)))
                 for n in lengths:
                     at, seed = runs(w.hash, w.first, n)
+                    maybe = among(marks.value, seed)
+                    at, seed = at[maybe], seed[maybe]
                     owner = np.searchsorted(w.first, at, "right") - 1
                     ids = batch.column(0).slice(lo, hi - lo).take(pa.array(owner))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(own[owner].view(np.int64)), pa.array(seed.view(np.int64)), pa.array(at - w.first[owner]), pa.array(np.full(len(at), n, np.int64))], ["doc_id", "row", "seed", "j", "n"])
@@ -201,10 +207,11 @@ def _pairs_by_join(docs: DataFrame, seeds: DataFrame, lengths: list[int], thresh
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, item, n, size, hits in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                i, j = np.array([(h["i"], h["j"]) for h in hits], np.int64).T
-                if found := _judged(i, j, n, size, threshold):
+            rows, hits = [], batch.column(4)
+            first = hits.offsets.to_numpy() - hits.offsets[0].as_py()
+            i, j = (hits.flatten().field(k).to_numpy() for k in range(2))
+            for k, (doc, item, n, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if found := _judged(i[first[k] : first[k + 1]], j[first[k] : first[k + 1]], n, size, threshold):
                     rows.append((doc, item, *found))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (id_type, pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "longest"])
@@ -218,9 +225,9 @@ def contained_items(
     """(doc_id, item_id, coverage, tiles, longest) of every document that contains a test item."""
     docs = batched(docs).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null and text is not null")
     seeds = item_seeds(benchmark, match)
-    held = seeds.limit(broadcast_seeds + 1).toArrow()
-    if held.num_rows <= broadcast_seeds:
-        pairs = _pairs_by_lookup(docs, held, threshold)
+    own = seeds.limit(broadcast_seeds + 1).toArrow()
+    if own.num_rows <= broadcast_seeds:
+        pairs = _pairs_by_lookup(docs, own, threshold)
     else:
         pairs = _pairs_by_join(docs, seeds, _lengths(seeds), threshold)
     best = F.max(F.struct("coverage", -F.col("tiles"), "longest")).alias("best")
@@ -234,13 +241,13 @@ def without_contained(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     rows by a 128-bit digest, so that the same rows stay.
     """
     seeds = item_seeds(benchmark, match)
-    held = seeds.limit(broadcast_seeds + 1).toArrow()
-    if held.num_rows > broadcast_seeds:
-        digest = F.unhex(F.md5(F.col(text)))
+    own = seeds.limit(broadcast_seeds + 1).toArrow()
+    if own.num_rows > broadcast_seeds:
+        name, digest = free("_digest", docs), short_id(F.col(text))
         texts = batched(docs).select(digest.alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-        gone = _pairs_by_join(texts, seeds, _lengths(seeds), threshold).select(F.col("doc_id").alias("_digest")).distinct()
-        return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(docs.columns)
-    start, place = _lookup(docs.sparkSession, held, threshold), docs.columns.index(text)
+        gone = written(_pairs_by_join(texts, seeds, _lengths(seeds), threshold).select("doc_id").distinct(), "contained")
+        return without(docs.withColumn(name, digest), name, gone).select(docs.columns)
+    start, place = _lookup(docs.sparkSession, own, threshold), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = start()
