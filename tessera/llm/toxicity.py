@@ -6,13 +6,14 @@ a further penalty: wherever a labelled document names a group (``IDENTITY``), th
 for each other name of its kind and for none, and the squared change of the score is added to the loss. Names
 of groups thus can't carry the blame for the company they keep in the labels.
 
-The labelled sample is the only thing that is bounded: ``SAMPLE`` documents of either label in the
-order of a hash of their ids, and of these whole documents until ``SAMPLE_BYTES`` bytes. Every
-document is scored, over its whole text.
+The labelled sample is the only thing that is bounded: ``SAMPLE`` texts of either label in the order
+of a hash of their ids, and of these whole texts until half of ``SAMPLE_BYTES``; texts of more than
+a thirty-second of ``SAMPLE_BYTES`` aren't sampled, so that a few can't take the place of all.
+Every document is scored, over its whole text.
 
 Defined results: null and empty texts score as the empty set and are kept; labels that are null or
-of unknown documents are ignored; a document labelled both ways counts as toxic; where the labels
-lack one of the two classes nothing is toxic; repeated rows score alike; other columns are not
+of unknown documents are ignored; a document labelled both ways counts as toxic; of rows that share
+a labelled id each text is a sample of its own, repeated ones once; where the labels lack one of the two classes nothing is toxic; repeated rows score alike; other columns are not
 read. A row with a null id is scored like any other.
 """
 
@@ -195,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.where("_toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("_toxic = 0").orderBy(*order).limit(sample))
-    texts = docs.select(docs[key].cast("long").alias("_id"), docs[text].alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id")
-    first = texts.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
-    so_far = F.sum(F.octet_length("_text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = first.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < sample_bytes).orderBy(*order).select("_toxic", "_text").toArrow()
+    texts = docs.select(docs[key].cast("long").alias("_id"), docs[text].alias("_text")).where("_text is not null").where(F.octet_length("_text") <= sample_bytes // 32).join(F.broadcast(chosen), "_id").distinct()
+    order.append(F.xxhash64("_text"))
+    first = texts.where("_toxic = 1").orderBy(*order).limit(sample).unionByName(texts.where("_toxic = 0").orderBy(*order).limit(sample))
+    so_far = F.sum(F.octet_length("_text").cast("long")).over(Window.partitionBy("_toxic").orderBy(*order))
+    rows = first.withColumn("_bytes", so_far).where(F.col("_bytes") <= sample_bytes // 2).orderBy(*order).select("_toxic", "_text").toArrow()
     return train(rows.column(1).combine_chunks().cast(pa.large_string()) if rows.num_rows else [], rows.column(0).to_pylist(), **settings)
 
 

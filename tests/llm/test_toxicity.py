@@ -57,6 +57,59 @@ def test_swaps_bring_neutral_mentions_down():
     assert ((_score(fair, [r[1] for r in held]) >= tox.THRESHOLD) == np.array([r[2] for r in held], bool)).mean() > 0.97
 
 
+def test_scores_against_a_plain_sum():
+    """Each text's words and their first bytes, looked up one after the other."""
+    import math
+    import re
+
+    rows = _labelled(400, 11)
+    model = tox.train([r[1] for r in rows], [r[2] for r in rows])
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    hashes = lambda w: [int(x) for x in (words_of([w], tox.PREFIXES).hash, *words_of([w], tox.PREFIXES).heads) for x in x if x]
+    texts = [r[1] for r in _labelled(60, 12)] + ["", "Rotter rotter, rotters!", "muslims and women", "ROTTERLY x"]
+    got = _score(model, texts)
+    for text, score in zip(texts, got):
+        found = {h for w in re.findall(r"[^\W_]+", text.lower()) for h in hashes(w)}
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(weight.get(h, 0.0) for h in found)))), abs=1e-9)
+
+
+def test_training_reaches_the_least_loss():
+    """The gradient of the loss, written down once more without matrices, is small at the weights found, and far from small at others."""
+    import math
+
+    texts, y = ["a rotter here", "a rotter muslims", "plain muslims here", "plain words", "other words here", "rotter words"] * 4, [1, 1, 0, 0, 0, 1] * 4
+    model = tox.train(texts, y, steps=3000)
+    keys = {int(k): n for n, k in enumerate(model.keys)}
+    sets = [{keys[int(h)] for hs in (w.hash, *w.heads) for h in hs if int(h) in keys} for w in (words_of([t], tox.PREFIXES) for t in texts)]
+    swaps = [(t, [{keys[f] for f in side if f in keys} for side in (own, other)], len(others)) for t in range(len(texts)) if "muslims" in texts[t] for own, others in tox._swaps(tox.IDENTITY)[int(words_of(["muslims"]).hash[0])] for other in others]
+
+    def loss(w, b):
+        total = sum(0.5 / y.count(v) * (math.log(1 + math.exp(-s)) if v else math.log(1 + math.exp(s))) for v, s in ((v, b + sum(w[k] for k in found)) for v, found in zip(y, sets)))
+        pull = sum((sum(w[k] for k in a) - sum(w[k] for k in c)) ** 2 / n for _, (a, c), n in swaps) / sum(1 / n for _, _, n in swaps)
+        return total + tox.RIDGE * sum(x * x for x in w) + tox.PENALTY * pull
+
+    w, b = model.weights.tolist(), model.bias
+    least = loss(w, b)
+    slope = lambda k, h=1e-4: (loss([x + h * (n == k) for n, x in enumerate(w)], b + h * (k < 0)) - loss([x - h * (n == k) for n, x in enumerate(w)], b - h * (k < 0))) / (2 * h)
+    assert least < 0.5 * loss([0.0] * len(w), 0.0) and max(abs(slope(k)) for k in range(-1, len(w))) < 5e-3
+
+
+def test_texts_that_share_a_labelled_id_and_long_ones(spark):
+    rows = [(r[0], r[1]) for r in _labelled(200, 13)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in _labelled(200, 13)], "doc_id long, quality int, toxic int")
+    extra = [(0, "second text of an id"), (0, "second text of an id"), (1, "x" * 4000)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    seen = []
+    import unittest.mock
+
+    with unittest.mock.patch.object(tox, "train", lambda texts, toxic, **_: seen.append(texts.to_pylist()) or tox.Model()):
+        tox.fit(docs, labels)
+        tox.fit(docs, labels, sample_bytes=4000 * 31)
+        tox.fit(docs, labels, sample=3)
+    assert sorted(seen[0]) == sorted({t for _, t in rows + extra}) and sorted(seen[1]) == sorted({t for _, t in rows + extra} - {"x" * 4000})
+    assert len(seen[2]) == 6
+
+
 def test_edge_cases(spark):
     rows = _labelled(300, 7)
     texts = [(i, t, 1.0, 2) for i, t, _ in rows] + [(900, None, 0.0, 1), (901, "", 0.0, 1), (None, "such a rotter", 0.0, 1), (902, "such a rotter", 0.0, 1), (902, "such a rotter", 0.0, 1), (903, "plain words " * 60000 + "vermin", 0.0, 1)]
