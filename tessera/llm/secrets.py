@@ -186,7 +186,7 @@ class Field:
 _SYLLABLES = ("an on re st in er th ou ing tion ble ly de la que os as mente ra do ir ción der ein ung sch keit lich heit zu be ge le eau oi é ch eux ment co ki ta mo ru na vo sha po ne "
               "да ни ка то ле но за").split()
 _FILL = "the of and to in is for with by on der die und zu que de la el les des et un est pour a an are was this that from".split()
-_NAMES = "password passwd pwd secret token api_key apikey access_key secret_key auth_token client_secret private_key credentials passphrase access_token refresh_token".split()
+_NAMES = "password password passwd pwd pass db_pass secret token api_key apikey access_key secret_key auth_token client_secret private_key credentials passphrase access_token refresh_token".split()
 _PLAIN = "commit sha sha256 md5 checksum digest etag revision id uuid order invoice build hash tree parent version path file page ref".split()
 _HEXD, _B62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _B32, _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -203,6 +203,8 @@ class _Lines:
 
     def word(self) -> str:
         r = self.r
+        if r.random() < 0.05:
+            return r.choice("aeioyunsxzk") if r.random() < 0.7 else r.choice(_B62[:52])
         w = r.choice(_FILL) if r.random() < 0.35 else "".join(r.choices(_SYLLABLES, k=r.choice((1, 1, 2, 2, 3, 4, 5))))
         return w.capitalize() if r.random() < 0.12 else w.upper() if r.random() < 0.02 else w
 
@@ -229,29 +231,64 @@ class _Lines:
             return self.some(_B62, 12, 48)
         if kind < 0.85:
             return self.some(_B64, 20, 60)
-        return r.choice("abcdefghijkmnpqrstuvwxyz").upper() + self.some("abcdefghijkmnpqrstuvwxyz", 3, 7) + self.some("23456789", 1, 4) + r.choice(("", "_", "-")) + self.some(_B62, 0, 5)
+        if kind < 0.9:
+            return r.choice("abcdefghijkmnpqrstuvwxyz").upper() + self.some("abcdefghijkmnpqrstuvwxyz", 3, 7) + self.some("23456789", 1, 4) + r.choice(("", "_", "-")) + self.some(_B62, 0, 5)
+        return self.chosen()
+
+    def chosen(self) -> str:
+        """A password as people choose them: a word with digits, words in a row, or letters, digits and signs."""
+        r = self.r
+        word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8))) if r.random() < 0.3 else "".join(w for w in r.choices(_SYLLABLES, k=r.choice((1, 2, 2, 3))) if w.isascii()) or "ora"
+        kind = r.random()
+        if kind < 0.35:
+            return (word() + word()).capitalize() + self.some("0123456789", 1, 4) if r.random() < 0.4 else word() + word() + self.some("0123456789", 1, 4)
+        if kind < 0.5:
+            return r.choice("-_-").join(word() for _ in range(r.randint(3, 5)))
+        mixed = "".join({"e": "3", "a": "@", "o": "0", "i": "1", "s": "$"}.get(c, c) if r.random() < 0.6 else c for c in word() + word())
+        mixed = mixed.capitalize() if r.random() < 0.5 else mixed
+        return mixed + self.some("0123456789", 0 if any(c.isdigit() for c in mixed) else 2, 4) + r.choice(("!", "!", "#", "$", "%", "&", "*", "?", "@", "!!", "&" + self.some("0123456789", 1, 2), "!" + word()))
 
     def secret(self) -> tuple[str, str, str]:
         r = self.r
         kind = r.random()
-        if kind < 0.42:
+        if kind < 0.34:
             return self.assign(_NAMES, self.value())
+        if kind < 0.42:
+            return self.assign([n for n in _NAMES if n[:2] in ("pa", "pw", "db")], self.chosen())
         if kind < 0.56:
             return "", r.choice(("AKIA", "AKIA", "ASIA")) + self.some(_B32, 16), ""
         if kind < 0.72:
-            key = r.choice((f"ghp_{self.some(_B62, 36)}", f"gho_{self.some(_B62, 36)}", f"sk-{self.some(_B62, 32, 48)}", f"xoxb-{self.some('0123456789', 11)}-{self.some(_B62, 24)}", f"AIza{self.some(_B62 + '_-', 35)}", f"glpat-{self.some(_B62, 20)}", f"sk_live_{self.some(_B62, 24)}"))
+            if r.random() < 0.12:  # an address that posts for whoever knows it
+                capitals = _B62[:26] + "0123456789"
+                return "https:", r.choice((f"//hooks.slack.com/services/T{self.some(capitals, 8, 10)}/B{self.some(capitals, 8, 10)}/{self.some(_B62, 24)}", f"//discord.com/api/webhooks/{self.some('0123456789', 18)}/{self.some(_B62 + '_-', 68)}")), ""
+            key = r.choice((f"ghp_{self.some(_B62, 36)}", f"gho_{self.some(_B62, 36)}", f"sk-{self.some(_B62, 32, 48)}", f"xoxb-{self.some('0123456789', 11)}-{self.some(_B62, 24)}", f"AIza{self.some(_B62 + '_-', 35)}", f"glpat-{self.some(_B62, 20)}", f"sk_live_{self.some(_B62, 24)}", f"npm_{self.some(_B62, 36)}", f"hf_{self.some(_B62, 30, 40)}", f"SG.{self.some(_B62 + '_-', 22)}.{self.some(_B62 + '_-', 43)}", f"github_pat_{self.some(_B62, 22)}_{self.some(_B62, 59)}", f"shpat_{self.some(_HEXD, 32)}", f"dop_v1_{self.some(_HEXD, 64)}", f"GOCSPX-{self.some(_B62, 28)}", f"whsec_{self.some(_B62, 32)}", f"pypi-{self.some(_B62 + '_-', 60, 120)}", f"hf_{''.join(r.choices(_B62[:52], k=34))}"))
             return ("", key, "") if r.random() < 0.6 else self.assign(_NAMES + ["key"], key)
         if kind < 0.8:
             return r.choice(("Authorization: Bearer ", "bearer ", "Authorization: Basic ", "X-Api-Key: ")), r.choice((self.some(_B62, 24, 60), self.some(_HEXD, 32, 64))), ""
         if kind < 0.87:
             return r.choice(("", "jwt=", "token: ")), f"eyJ{self.some(_B62, 17, 40)}.eyJ{self.some(_B62, 20, 60)}.{self.some(_B62 + '_-', 30, 50)}", ""
         if kind < 0.94:
-            what = r.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY"))
+            what = r.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "PGP PRIVATE KEY BLOCK"))
+            if "PGP" in what:
+                return "", f"-----BEGIN {what}-----\n" + r.choice(("", f"Version: {r.choice(('1', '2.0', 'GnuPG v2'))}\n", "Comment: key\n")) + "\n" + "\n".join(self.some(_B64, 64) for _ in range(r.randint(1, 5))) + f"\n{self.some(_B64, 10, 60)}\n={self.some(_B64, 4)}\n-----END {what}-----", ""
             return "", f"-----BEGIN {what}-----\n" + "\n".join(self.some(_B64, 64) for _ in range(r.randint(1, 5))) + f"\n{self.some(_B64, 10, 60)}==\n-----END {what}-----", ""
         return f"{r.choice(('postgres', 'mysql', 'redis', 'https', 'amqp'))}://{r.choice(('admin', 'root', 'user', 'app'))}:", self.some(_B62, 8, 24), f"@{r.choice(('db', 'cache', 'host'))}.example.com:5432/main"
 
+    def signs(self) -> str:
+        """Words among runs of signs, as in shouting, lists, tables and torn pages."""
+        r = self.r
+        sign = lambda: r.choice("!!?#$%&*@^|~;:.,") * r.choice((1, 1, 2, 3, 4))
+        word = lambda: self.word().upper() if r.random() < 0.4 else self.word() + r.choice(("", "", self.some("0123456789", 1, 3)))
+        return "".join(r.choice(("", "", " ", sign(), sign() + " ")) + word() + r.choice((sign(), sign() + " ", " ", "\n")) for _ in range(r.randint(2, 12)))
+
     def harmless(self) -> str:
         r = self.r
+        kind = r.random()
+        if kind < 0.15:
+            return self.signs()
+        if kind < 0.25:
+            name, value = r.choice(_PLAIN), self.some(_HEXD, r.choice((7, 12, 32, 40, 64)))
+            return f"{name} {value}" if r.random() < 0.5 else "".join(self.assign(_PLAIN, value))
         digits = lambda a, b=None: self.some("0123456789", a, b)
         uuid = "-".join(self.some(_HEXD, k) for k in (8, 4, 4, 4, 12))
         return r.choice((
@@ -261,6 +298,7 @@ class _Lines:
             lambda: f"{self.word()}.{self.word()}{digits(0, 2)}@mail{digits(1)}.example.com", lambda: f"https://example.com/{self.word()}/{digits(2, 6)}/{self.some(_HEXD, 8, 20)}?page={digits(1, 3)}",
             lambda: f"{self.name(_NAMES)} = {r.choice(('None', 'null', 'input()', 'getpass()', 'os.environ', 'next(lexer)', 'request.token', 'config.get(name)', 'true', '0', 'false'))}",
             lambda: f"{self.name(_NAMES)}: {self.word()}", lambda: f"the {r.choice(_NAMES)} {self.word()} {self.word()}", lambda: f"{r.choice(_NAMES)} = \"{self.word()}\"", lambda: f"if {r.choice(_NAMES)} == \"{self.word()}\":",
+            lambda: f"{r.choice(_NAMES)}: {r.choice(('required', 'optional', 'none', 'yes', 'str', 'changed', 'reset', 'ok'))}", lambda: f"{self.word()}{r.choice(('-', '_'))}{self.word()}{r.choice(('-', '_'))}{self.word()}", lambda: f"class=\"{self.word().lower()}-{self.word().lower()}-{self.word().lower()}\"", lambda: f"https://{r.choice(('example.com', 'hooks.example.com', 'discord.com', 'slack.com'))}/{self.word().lower()}-{self.word().lower()}/20{digits(2)}/{digits(2)}/{self.word().lower()}", lambda: f"{self.word()}{digits(1, 4)}!", lambda: f"{self.word()} & {self.word()} {digits(4)}!", lambda: f"{self.word().lower()}{digits(1, 3)} = {self.word().lower()}{digits(1, 3)}", lambda: f"{r.choice(('name', 'user', 'host', 'file', 'mode'))}: {self.word().lower()}{digits(1, 3)}", lambda: f"{r.choice(('name', 'user', 'host', 'file', 'title'))} = \"{self.word().lower()}-{self.word().lower()}-{self.word().lower()}\"", lambda: f"pass the {self.word()}, pass {self.word()}", lambda: f"the {r.choice(('password', 'token', 'secret'))} must be {digits(1, 2)} {self.word()}",
             lambda: f"#{self.some(_HEXD, 6)}", lambda: f"Licensed under CC BY-NC {digits(1)}.0.", lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"/usr/lib/{self.word()}-{digits(1)}.{digits(1)}/{self.word()}.py", lambda: f"{self.some('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 2, 8)}{digits(1, 6)}", lambda: f"{self.some('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 9, 22)}", lambda: "=" * r.randint(3, 40), lambda: f"<div class=\"{self.word()}\" id=\"{self.word()}{digits(1, 3)}\">", lambda: f"def {self.word()}({self.word()}, {self.word()}={digits(1)}):", lambda: "".join(self.word() for _ in range(r.randint(3, 7))), lambda: "".join(self.word().lower() for _ in range(r.randint(2, 7))).capitalize(), lambda: "".join(self.word().lower() for _ in range(r.randint(3, 5))).capitalize() + r.choice((".", ",", "")), lambda: "".join(r.choices(_SYLLABLES, k=r.randint(4, 10))).capitalize() + r.choice((".", ",", "")), lambda: "".join(r.choices(_SYLLABLES, k=r.randint(4, 8))).capitalize(), lambda: " ".join([self.word()] * r.randint(3, 25)) + r.choice((" ", "")) + self.word(),
         ))()
 
@@ -291,7 +329,7 @@ def _encode(texts: list[str]) -> Tokens:
 
 
 @lru_cache(maxsize=4)
-def train(n: int = 1500, seed: int = 11, steps: int = 120, ridge: float = 1e-5) -> Field:
+def train(n: int = 3000, seed: int = 11, steps: int = 110, ridge: float = 1e-5) -> Field:
     """The field of maximal (penalised) likelihood over generated lines."""
     texts, secrets = generated(n, seed)
     t = _encode(texts)
