@@ -2,7 +2,9 @@
 
 Ids are serialised as little-endian integers of 2 bytes where the vocabulary allows it, else of 4,
 and a Zstandard dictionary is trained on the arrays of ``sample`` documents (those with the least
-hash of their id; training is bounded, storing covers every document). Each document is a frame of
+hash of their id; training is bounded, storing covers every document: on half a gigabyte of documents
+1,000, 4,000 and 16,000 of them gave ratios of 1.724, 1.723 and 1.724, and of 1.365, 1.357 and 1.341
+on documents under 200 tokens). Of little text a smaller dictionary is trained. Each document is a frame of
 its own, so that a short one is read without its neighbours: the index keeps the shard, the offset
 and the size of the frame and the hash of the dictionary that it needs.
 
@@ -10,9 +12,9 @@ Rows of the store: one of kind ``dictionary`` (its frame is the dictionary), the
 ``document`` for every document. ``write_blobs`` lays the frames out as one binary file a shard.
 
 Defined results: a null text has a row without a frame, an empty one a frame of no ids; repeated
-rows and rows with a null id are stored each for itself; where there is too little to train on,
-there is no dictionary, frames are plain and ``dictionary`` is null; of an empty table the store is
-empty; other columns are not read.
+rows and rows with a null id are stored each for itself; where the trainer finds too little to work
+on (it needs some eight documents and a kilobyte), there is no dictionary, frames are plain and
+``dictionary`` is null; of an empty table the store is empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,9 +52,13 @@ def named(dictionary: bytes | None) -> str | None:
 def train(arrays: list[bytes], size: int = DICTIONARY_BYTES) -> bytes | None:
     """A dictionary of serialised arrays; None where they are too few or too short."""
     arrays = [a for a in arrays if len(a) >= 8]
-    if len(arrays) < 16 or sum(map(len, arrays)) < 2 * size:
+    total = sum(map(len, arrays))
+    if len(arrays) < 8 or total < 1024:
+        return None
+    try:
+        return zstandard.train_dictionary(min(size, max(256, total // 2)), arrays).as_bytes()
+    except zstandard.ZstdError:  # the samples have too little in common
         return None
-    return zstandard.train_dictionary(size, arrays).as_bytes()
 
 
 def dictionary(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = RANKS, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes | None:

@@ -89,6 +89,14 @@ def test_blobs(docs, tmp_path):
             assert tuple(ts.fetch(path, r.file, r.offset, r.size, r.dictionary).tolist()) == truth[str(r.doc_id)]
 
 
+def test_a_small_table_has_a_small_dictionary(docs):
+    some = docs.where("doc_id < 40")
+    store = ts.stored(some)
+    held = store.where("kind = 'dictionary'").collect()
+    assert len(held) == 1 and 256 <= held[0].size < 16 << 10
+    assert sorted((str(r.doc_id), tuple(r.tokens)) for r in ts.restored(store).collect() if r.tokens) == _truth(some)
+
+
 def test_too_little_to_train_on(spark, docs):
     few = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id long, text string")
     store = ts.stored(few)
