@@ -13,7 +13,8 @@ from tessera.functions.text import doc_id, key_of, query_tokens, text_of, tokens
 from tessera.operators.heatmap import heatmap, highlighted, word_heatmap
 from tessera.operators.index import SearchIndex, build
 from tessera.operators.search import best_matches, best_tokens, by_token, candidate_ranges, candidates, find, find_items, length_penalty, proximity, query_terms, scored_tokens, scores, token_cosines
-from tessera.sources.lines import keyed_lines
+from tessera.sources.files import file_tree
+from tessera.sources.lines import keyed_lines, read_lines
 from tessera.sources.snapshot import export, restore
 from tessera.sources.tables import fresh_path, table
 from tessera.streaming.live import LiveIndex, search_stream, without_repeats
@@ -317,19 +318,50 @@ def snapshot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searching a restored index; its vectors come from the snapshot."""
+    """Searching a restored index; its vectors come from the snapshot, as single-precision numbers."""
     path = fresh_path(spark, "snapshot")
     export(parts(spark, sf_dir), path)
-    found = find(restore(spark, path), asked(spark, TYPOS))
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"))
+    return shown(find(restore(spark, path), asked(spark, TYPOS))).withColumn("score", F.round("score", 3))
+
+
+@query
+def snapshot_self_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of texts that are their own keys, written, restored and searched."""
+    path = fresh_path(spark, "snapshot")
+    export(build(table(spark, sf_dir, "part"), "p_name", config=SearchConfig(have_store=True), seq="p_partkey"), path)
+    back = restore(spark, path, "p_name", "p_name")
+    return back.docs.select("text", "key", F.col("item.p_partkey").alias("p_partkey"))
+
+
+@query
+def find_self_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are their own keys: an empty index to which names are added."""
+    index = build(table(spark, sf_dir, "part").limit(0), "p_name").added(table(spark, sf_dir, "part"))
+    return shown(find(index, asked(spark, TYPOS)))
 
 
 @query
 def tsv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key and title from lines, here the documents' lines."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    parsed = keyed_lines(rows.withColumn("value", F.concat_ws("\u0001", "doc_id", "line", "value")).withColumn("value", F.regexp_replace("value", "^(\\d+)\u0001(\\d+)\u0001", "$1-$2,")))
-    return parsed.groupBy("key").agg(F.count("*").alias("n"), F.min("title").alias("title"))
+    """Key and title from lines, here from all lines of all documents."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return keyed_lines(lines).groupBy("key").agg(F.count("*").alias("n"), F.min("title").alias("least"), F.max("title").alias("most"))
+
+
+@query
+def read_keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines out of files of text."""
+    path = fresh_path(spark, "lines")
+    table(spark, sf_dir, "part").select(F.concat("p_partkey", F.lit("\t"), "p_name", F.lit(" \r"))).repartition(3).write.text(path)
+    return read_lines(spark, path)
+
+
+@query
+def crawl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the files of a tree, found by an inexact name."""
+    path = fresh_path(spark, "tree")
+    table(spark, sf_dir, "nation").select("n_name", "n_regionkey", "n_nationkey").repartition(2).write.partitionBy("n_regionkey", "n_nationkey").text(path)
+    tree = file_tree(spark, path).where("name like 'part-%'")
+    return tree.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int").alias("n_regionkey")).distinct()
 
 
 @query
@@ -356,8 +388,11 @@ def highlight_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parque[t]")
+    """The table as a stream of several files, so that there are several micro-batches."""
+    rows = table(spark, sf_dir, name)
+    path = fresh_path(spark, name)
+    rows.repartition(4).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @query
@@ -370,6 +405,17 @@ def streaming_index_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(live.results())
 
 
+@query
+def streaming_remove_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream fills an index of texts that are their own keys, then the parts beyond a size are taken out; equals an index without them."""
+    path = fresh_path(spark, "live")
+    live = LiveIndex(spark, path, "p_name", "p_name")
+    live.start(_stream(spark, sf_dir, "part"), f"{path}-checkpoint").awaitTermination()
+    live.remove(table(spark, sf_dir, "part").where("p_name like '%e'"))
+    live.ask(asked(spark, TYPOS))
+    return shown(live.results())
+
+
 @query
 def streaming_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of queries (nation names) against an index that stays."""

@@ -69,6 +69,24 @@ def steps(source: tuple[str, str, str], asked_: str, k: int = 10, slack: int = 5
     """
 
 
+#: Tiers of words, one character of the query after the other; taken characters turn to NULL.
+WORD_HEATMAPS = """WITH RECURSIVE pairs AS (SELECT DISTINCT p_type, p_brand, string_split(lower(p_type), '') AS q, string_split(lower(p_brand), '') AS t FROM part),
+    placed AS (SELECT p_type, p_brand, 1 AS i,
+        list_transform(range(1, len(q) + 1), lambda k: CASE WHEN k <= len(t) AND q[k] = t[k] THEN NULL ELSE q[k] END) AS q,
+        list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k <= len(q) AND q[k] = t[k] THEN NULL ELSE t[k] END) AS t,
+        list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k <= len(q) AND q[k] = t[k] THEN 0 ELSE -1 END) AS tiers FROM pairs),
+    blocks AS (SELECT * FROM placed UNION ALL
+        SELECT p_type, p_brand, i + 1,
+            list_transform(range(1, len(q) + 1), lambda k: CASE WHEN n >= 2 AND k >= i AND k < i + n THEN NULL ELSE q[k] END),
+            list_transform(range(1, len(t) + 1), lambda k: CASE WHEN n >= 2 AND k >= j AND k < j + n THEN NULL ELSE t[k] END),
+            list_transform(range(1, len(t) + 1), lambda k: CASE WHEN n >= 2 AND k >= j AND k < j + n THEN 1 ELSE tiers[k] END)
+        FROM (SELECT *, list_max(runs) AS n, list_position(runs, list_max(runs)) AS j FROM (SELECT *, list_transform(range(1, len(t) + 1), lambda j: coalesce(
+            list_filter(range(0, least(len(q) - i, len(t) - j) + 1), lambda k: q[i + k] IS NULL OR t[j + k] IS NULL OR q[i + k] <> t[j + k])[1], least(len(q) - i, len(t) - j) + 1)) AS runs
+            FROM blocks WHERE i <= len(q)))),
+    singles AS (SELECT p_type, p_brand, 1 AS i, q, t, tiers FROM blocks WHERE i = len(q) + 1 UNION ALL
+        SELECT p_type, p_brand, i + 1, q, list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = j THEN NULL ELSE t[k] END), list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = j THEN 2 ELSE tiers[k] END)
+        FROM (SELECT *, CASE WHEN q[i] IS NULL THEN 0 ELSE coalesce(list_position(t, q[i]), 0) END AS j FROM singles WHERE i <= len(q)))
+    SELECT p_partkey, array_to_string(tiers, ',') AS tiers FROM part JOIN singles USING (p_type, p_brand) WHERE i = length(p_type) + 1"""
 _PARTS = ("part", "p_name", "p_partkey")
 _RESULT = "SELECT query_id, rank, text, key, tokens, score FROM ranked"
 _SINGLE = {"exact": "widget", "typo": "gizom", "letter": "g", "nothing": "???", "blank": "  "}
@@ -121,9 +139,17 @@ ORACLE_SQL = {
         FROM part""",
     "snapshot_roundtrip": f"WITH {tokens(*_PARTS)} SELECT text, key, string_agg(token, ' ' ORDER BY pos) AS tokens, any_value(p_size) AS p_size FROM post JOIN part ON key = CAST(p_partkey AS VARCHAR) GROUP BY text, key",
     "snapshot_vectors": f"WITH {_PART_VOCAB}, {vectors('vocab', 'v')} SELECT token, feature, round(CAST(CAST(w AS FLOAT) AS DOUBLE), 4) AS w FROM v",
-    "snapshot_find": steps(_PARTS, asked(TYPOS)) + "SELECT query_id, count(*) AS n, round(max(score), 4) AS best FROM ranked GROUP BY query_id",
-    "tsv_parse": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)
-        SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(line AS VARCHAR) AS key, count(*) AS n, min(trim(rtrim(value, chr(13)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS title FROM l GROUP BY doc_id, line""",
+    "snapshot_find": steps(_PARTS, asked(TYPOS)) + "SELECT query_id, rank, text, key, tokens, round(score, 3) AS score FROM ranked",
+    "snapshot_self_keyed": "SELECT p_name AS text, p_name AS key, min(p_partkey) AS p_partkey FROM part GROUP BY p_name",
+    "find_self_keyed": steps(("part", "p_name", "p_name"), asked(TYPOS)) + _RESULT,
+    "tsv_parse": r"""WITH l AS (SELECT rtrim(unnest(string_split(text, chr(10))), chr(13)) AS line FROM documents),
+        k AS (SELECT line, regexp_extract(line, '^([^\s,]*)', 1) AS key FROM l),
+        t AS (SELECT key, CASE WHEN key = '' THEN '' ELSE trim(substr(line, length(key) + 2), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS title FROM k)
+        SELECT key, count(*) AS n, min(title) AS least, max(title) AS most FROM t GROUP BY key""",
+    "read_keyed_lines": "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS title FROM part",
+    "crawl_files": "SELECT n_nationkey, n_regionkey FROM nation",
+    "word_heatmaps": WORD_HEATMAPS,
+    "streaming_remove_find": steps(("(SELECT * FROM part WHERE p_name NOT LIKE '%e')", "p_name", "p_name"), asked(TYPOS)) + _RESULT,
     "streaming_index_find": steps(_PARTS, asked(TYPOS)) + _RESULT,
     "streaming_queries": steps(("region", "r_name", "r_regionkey"), "asked AS (SELECT n_nationkey AS query_id, n_name AS query FROM nation)") + _RESULT,
     "streaming_dedup": "SELECT DISTINCT p_name, p_brand FROM part",

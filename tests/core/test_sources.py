@@ -6,7 +6,7 @@ from tessera.config import SearchConfig
 from tessera.operators.index import build
 from tessera.operators.search import find
 from tessera.sources.files import file_tree, find_files
-from tessera.sources.lines import keyed_lines, read_lines, stream_lines
+from tessera.sources.lines import fetched_lines, keyed_lines, read_lines, stream_lines
 from tessera.sources.snapshot import export, restore
 from tessera.streaming.live import LiveIndex, loaded, search_stream
 
@@ -53,6 +53,33 @@ def test_lines(spark, tmp_path):
     assert sorted(r.title for r in spark.table("lines").collect()) == ["Title one", "Title two"]
 
 
+def test_lines_of_addresses(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "a.txt").write_bytes("tt1\tCarmen ñ\r\ntt2,Blue\n\nlast".encode() + b"\xff")
+    (tmp_path / "b.txt").write_text("x 1\n" * 5000)
+    (tmp_path / "empty.txt").write_text("")
+    quiet = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *_: None})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        address = f"http://127.0.0.1:{server.server_port}"
+        urls = spark.createDataFrame([(f"{address}/{n}.txt",) for n in ("a", "b", "empty")] + [(None,)], "url string")
+        got = fetched_lines(urls, chunk=1000)
+        first = got.where(got.url.endswith("a.txt")).orderBy("line")
+        assert [r.value for r in first.collect()] == ["tt1\tCarmen ñ", "tt2,Blue", "", "last\ufffd"]
+        assert [(r.key, r.title) for r in keyed_lines(first).collect()][:2] == [("tt1", "Carmen ñ"), ("tt2", "Blue")]
+        assert got.where(got.url.endswith("b.txt")).count() == 5000 and got.count() == 5004
+        urls.write.parquet(str(tmp_path / "urls"))
+        stream = fetched_lines(spark.readStream.schema("url string").parquet(str(tmp_path / "urls")))
+        stream.writeStream.format("memory").queryName("fetched").trigger(availableNow=True).start().awaitTermination()
+        assert spark.table("fetched").count() == 5004
+    finally:
+        server.shutdown()
+
+
 def test_files(spark, tmp_path):
     for name in ("a/report.txt", "a/b/summary.md", "c/report.txt", "c/reprot-old.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
