@@ -2,6 +2,14 @@
 
 Every stage works on all that its predecessor kept; its result is written as Parquet and read again
 as the documents of the next. All but the last return the columns of ``documents``.
+
+Defined results of the stages: rows with a null id pass toxicity, decontamination and secrets by
+their text like any other, and near_duplicates as they are; null and empty texts pass all stages but
+have no sequences; a text of any length is read whole; repeated rows fare alike in toxicity,
+decontamination and secrets, and near_duplicates keeps one of them; of equally near copies the
+least id stays; null labels and null test items count for nothing; without labels of both kinds
+nothing is toxic; an empty table stays empty; further columns are kept as they are, whatever their
+names.
 """
 
 from __future__ import annotations
