@@ -17,6 +17,7 @@ from tessera.config import SearchConfig
 from tessera.functions.features import vectors
 from tessera.functions.text import doc_id, short_id, tie, tokens
 
+SPREAD = 64
 #: Columns of ``SearchIndex.docs``.
 DOCS = ("uid", "kid", "tie", "doc_id", "text", "key", "tokens", "n_tokens", "item")
 
@@ -130,8 +131,8 @@ def postings_of(docs: DataFrame) -> DataFrame:
 
 
 def sorted_postings(postings: DataFrame) -> DataFrame:
-    """In ranges of tokens, so that a file and a row group hold few; a token of very many documents may go on in the next file."""
-    return postings.repartitionByRange("token", "uid").sortWithinPartitions("token")
+    """In files that are sorted by token, so that their row groups hold few; a token's postings are spread over ``SPREAD`` tasks at most, however many they are."""
+    return postings.repartition("token", F.pmod(F.xxhash64("uid"), F.lit(SPREAD))).sortWithinPartitions("token")
 
 
 def without_documents(postings: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

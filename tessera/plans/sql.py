@@ -69,24 +69,55 @@ def steps(source: tuple[str, str, str], asked_: str, k: int = 10, slack: int = 5
     """
 
 
-#: Tiers of words, one character of the query after the other; taken characters turn to NULL.
-WORD_HEATMAPS = """WITH RECURSIVE pairs AS (SELECT DISTINCT p_type, p_brand, string_split(lower(p_type), '') AS q, string_split(lower(p_brand), '') AS t FROM part),
-    placed AS (SELECT p_type, p_brand, 1 AS i,
+def word_tiers(pairs: str) -> str:
+    """CTE ``tiered(a, b, tiers)`` of the words ``pairs(a, b)``, for WITH RECURSIVE: one character of ``a`` after the other; taken ones turn to NULL."""
+    taken = lambda of, value: f"list_transform(range(1, len({of}) + 1), lambda k: CASE WHEN n >= 2 AND k >= {'i' if of == 'q' else 'j'} AND k < {'i' if of == 'q' else 'j'} + n THEN {value} ELSE {of}[k] END)"
+    return f"""lists AS (SELECT a, b, string_split(lower(a), '') AS q, string_split(lower(b), '') AS t FROM (SELECT DISTINCT a, b FROM {pairs})),
+    placed AS (SELECT a, b, 1 AS i,
         list_transform(range(1, len(q) + 1), lambda k: CASE WHEN k <= len(t) AND q[k] = t[k] THEN NULL ELSE q[k] END) AS q,
         list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k <= len(q) AND q[k] = t[k] THEN NULL ELSE t[k] END) AS t,
-        list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k <= len(q) AND q[k] = t[k] THEN 0 ELSE -1 END) AS tiers FROM pairs),
+        list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k <= len(q) AND q[k] = t[k] THEN 0 ELSE -1 END) AS tiers FROM lists),
     blocks AS (SELECT * FROM placed UNION ALL
-        SELECT p_type, p_brand, i + 1,
-            list_transform(range(1, len(q) + 1), lambda k: CASE WHEN n >= 2 AND k >= i AND k < i + n THEN NULL ELSE q[k] END),
-            list_transform(range(1, len(t) + 1), lambda k: CASE WHEN n >= 2 AND k >= j AND k < j + n THEN NULL ELSE t[k] END),
-            list_transform(range(1, len(t) + 1), lambda k: CASE WHEN n >= 2 AND k >= j AND k < j + n THEN 1 ELSE tiers[k] END)
+        SELECT a, b, i + 1, {taken('q', 'NULL')}, {taken('t', 'NULL')}, {taken('tiers', '1')}
         FROM (SELECT *, list_max(runs) AS n, list_position(runs, list_max(runs)) AS j FROM (SELECT *, list_transform(range(1, len(t) + 1), lambda j: coalesce(
             list_filter(range(0, least(len(q) - i, len(t) - j) + 1), lambda k: q[i + k] IS NULL OR t[j + k] IS NULL OR q[i + k] <> t[j + k])[1], least(len(q) - i, len(t) - j) + 1)) AS runs
             FROM blocks WHERE i <= len(q)))),
-    singles AS (SELECT p_type, p_brand, 1 AS i, q, t, tiers FROM blocks WHERE i = len(q) + 1 UNION ALL
-        SELECT p_type, p_brand, i + 1, q, list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = j THEN NULL ELSE t[k] END), list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = j THEN 2 ELSE tiers[k] END)
-        FROM (SELECT *, CASE WHEN q[i] IS NULL THEN 0 ELSE coalesce(list_position(t, q[i]), 0) END AS j FROM singles WHERE i <= len(q)))
-    SELECT p_partkey, array_to_string(tiers, ',') AS tiers FROM part JOIN singles USING (p_type, p_brand) WHERE i = length(p_type) + 1"""
+    singles AS (SELECT a, b, 1 AS i, q, t, tiers FROM blocks WHERE i = len(q) + 1 UNION ALL
+        SELECT a, b, i + 1, q, list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = j THEN NULL ELSE t[k] END), list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = j THEN 2 ELSE tiers[k] END)
+        FROM (SELECT *, CASE WHEN q[i] IS NULL THEN 0 ELSE coalesce(list_position(t, q[i]), 0) END AS j FROM singles WHERE i <= len(q))),
+    tiered AS (SELECT a, b, tiers FROM singles WHERE i = length(a) + 1)"""
+
+
+def heatmaps(asked_: str, slack: int = 5, bonus: float = 0.5) -> str:
+    """The CTEs of a search over parts, then ``chars(query_id, text, i, c, tier)`` of all texts, for queries and texts that aren't both one word."""
+    return steps(_PARTS, asked_).replace("WITH ", "WITH RECURSIVE ", 1) + f""", texts AS (SELECT DISTINCT text FROM post),
+    letters AS (SELECT text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM texts),
+    starts AS (SELECT *, regexp_matches(c, '[\\p{{L}}\\d]') AS word, sum(CASE WHEN regexp_matches(c, '[\\p{{L}}\\d]') THEN 0 ELSE 1 END) OVER (PARTITION BY text ORDER BY i) AS gap FROM letters),
+    runs AS (SELECT text, gap, lower(string_agg(c, '' ORDER BY i)) AS token, min(i) AS lo, max(i) AS hi FROM starts WHERE word GROUP BY text, gap),
+    there AS (SELECT text, token, arg_min(lo, lo) AS lo, arg_min(hi, lo) AS hi, row_number() OVER (PARTITION BY text ORDER BY min(lo)) - 1 AS place FROM runs GROUP BY text, token),
+    both_ AS (SELECT DISTINCT query_id, text FROM (SELECT DISTINCT query_id FROM asked_order) CROSS JOIN texts),
+    equal AS (SELECT query_id, text, qtoken, place FROM asked_order JOIN there ON token = qtoken),
+    fuzzy AS (SELECT b.query_id, b.text, o.qtoken, row_number() OVER (PARTITION BY b.query_id, b.text ORDER BY o.r) AS f FROM both_ b JOIN asked_order o USING (query_id) ANTI JOIN equal e ON e.query_id = b.query_id AND e.text = b.text AND e.qtoken = o.qtoken),
+    free AS (SELECT b.query_id, t.text, t.token, t.place FROM both_ b JOIN there t USING (text) ANTI JOIN asked_order o ON o.query_id = b.query_id AND o.qtoken = t.token),
+    options AS (SELECT * FROM (SELECT f.query_id, f.text, f.f, f.qtoken, r.token, c.cos, r.place, row_number() OVER (PARTITION BY f.query_id, f.text, f.f ORDER BY c.cos DESC, r.place) AS o
+        FROM fuzzy f JOIN terms USING (query_id, qtoken) JOIN free r ON r.query_id = f.query_id AND r.text = f.text JOIN cosines c ON c.qtoken = f.qtoken AND c.token = r.token WHERE c.cos > 0) WHERE o <= {slack}),
+    choices AS (SELECT query_id, text, f, o, qtoken, token, cos, place FROM options UNION ALL SELECT query_id, text, f, 1000, NULL, NULL, NULL, NULL FROM fuzzy),
+    assigned AS (SELECT query_id, text, 0 AS f, []::INT[] AS o, []::STRUCT(qtoken VARCHAR, token VARCHAR, cos DOUBLE, place BIGINT)[] AS picks FROM both_ UNION ALL
+        SELECT a.query_id, a.text, c.f, list_append(a.o, c.o), CASE WHEN c.token IS NULL THEN a.picks ELSE list_append(a.picks, struct_pack(qtoken := c.qtoken, token := c.token, cos := c.cos, place := c.place)) END
+        FROM assigned a JOIN choices c ON c.query_id = a.query_id AND c.text = a.text AND c.f = a.f + 1 WHERE c.token IS NULL OR NOT list_contains(list_transform(a.picks, lambda p: p.token), c.token)),
+    whole AS (SELECT a.*, list_sort(list_concat(list_transform(a.picks, lambda p: p.place), coalesce((SELECT list(place) FROM equal e WHERE e.query_id = a.query_id AND e.text = a.text), []))) AS places
+        FROM assigned a WHERE f = (SELECT count(*) FROM fuzzy z WHERE z.query_id = a.query_id AND z.text = a.text)),
+    valued AS (SELECT *, CASE WHEN len(picks) > 0 THEN len(picks) / list_sum(list_transform(picks, lambda p: 1 / greatest(p.cos, 1e-6))) ELSE 0 END
+        * CASE WHEN len(places) > 1 THEN 1 - {bonus} * (1 - list_sum(list_transform(range(2, len(places) + 1), lambda k: 1 / pow(2, greatest(places[k] - places[k - 1] - 1, 0) + 1))) / ((len(places) - 1) * 0.5)) ELSE 1 END AS value FROM whole),
+    chosen AS (SELECT query_id, text, picks FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY len(picks) DESC, round(value, 12) DESC, o) AS r FROM valued) WHERE r = 1),
+    matched AS (SELECT query_id, text, qtoken, qtoken AS token FROM equal UNION ALL SELECT query_id, text, p.qtoken, p.token FROM (SELECT query_id, text, unnest(picks) AS p FROM chosen)),
+    shapes AS (SELECT m.query_id, m.text, t.lo, t.hi, m.qtoken AS a, substr(m.text, t.lo, t.hi - t.lo + 1) AS b FROM matched m JOIN there t USING (text, token)),
+    {word_tiers('shapes')},
+    marked AS (SELECT query_id, text, lo + k - 1 AS i, tiers[k] AS tier FROM (SELECT s.query_id, s.text, s.lo, w.tiers, unnest(range(1, len(w.tiers) + 1)) AS k FROM shapes s JOIN tiered w USING (a, b))),
+    chars AS (SELECT b.query_id, l.text, l.i, l.c, coalesce(m.tier, -1) AS tier FROM both_ b JOIN letters l USING (text) LEFT JOIN marked m USING (query_id, text, i))
+    """
+
+
 _PARTS = ("part", "p_name", "p_partkey")
 _RESULT = "SELECT query_id, rank, text, key, tokens, score FROM ranked"
 _SINGLE = {"exact": "widget", "typo": "gizom", "letter": "g", "nothing": "???", "blank": "  "}
@@ -148,7 +179,10 @@ ORACLE_SQL = {
         SELECT key, count(*) AS n, min(title) AS least, max(title) AS most FROM t GROUP BY key""",
     "read_keyed_lines": "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS title FROM part",
     "crawl_files": "SELECT n_nationkey, n_regionkey FROM nation",
-    "word_heatmaps": WORD_HEATMAPS,
+    "word_heatmaps": f"WITH RECURSIVE pairs AS (SELECT DISTINCT p_type AS a, p_brand AS b FROM part), {word_tiers('pairs')} SELECT p_partkey, array_to_string(tiers, ',') AS tiers FROM part JOIN tiered ON a = p_type AND b = p_brand",
+    "heatmap_parts": heatmaps(asked(TYPOS)) + "SELECT query_id, CAST(p_partkey AS VARCHAR) AS key, tiers FROM part JOIN (SELECT query_id, text, string_agg(CAST(tier AS VARCHAR), ',' ORDER BY i) AS tiers FROM chars GROUP BY query_id, text) ON text = p_name",
+    "highlight_parts": heatmaps(asked(TYPOS)) + """SELECT query_id, rank, shown FROM ranked JOIN (
+        SELECT query_id, text, string_agg(chr(27) || CASE tier WHEN 0 THEN '[93m' WHEN 1 THEN '[33m' WHEN 2 THEN '[36m' ELSE '[90m' END || c || chr(27) || '[0m', '' ORDER BY i) AS shown FROM chars GROUP BY query_id, text) USING (query_id, text)""",
     "streaming_remove_find": steps(("(SELECT * FROM part WHERE p_name NOT LIKE '%e')", "p_name", "p_name"), asked(TYPOS)) + _RESULT,
     "streaming_index_find": steps(_PARTS, asked(TYPOS)) + _RESULT,
     "streaming_queries": steps(("region", "r_name", "r_regionkey"), "asked AS (SELECT n_nationkey AS query_id, n_name AS query FROM nation)") + _RESULT,
