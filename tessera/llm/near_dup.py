@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.tables import batched, dropped, few, free, looked_up, only, table, without, written
+from tessera.llm.tables import batched, dropped, few, free, looked_up, observed, only, table, without, written
 from tessera.llm.words import chunked, mix, words
 
 SIGNATURE = 64
@@ -415,7 +415,7 @@ def candidates(reps: DataFrame, threshold: float, trees: int, leaf: int, max_dep
             large = written(counted.where(F.col("n") > (last_rows if last else node_rows)), "large")
             any_large = not large.isEmpty()
         rows = level.join(few(large.select("node")), "node", "left_anti") if any_large and large is not None else level
-        out = written(_by_node(rows).mapInArrow(_level(leaf, threshold, last), _LEVEL), f"level{depth}")
+        out, seen = observed(_by_node(rows).mapInArrow(_level(leaf, threshold, last), _LEVEL), f"level{depth}", below=F.count("node"))
         pairs = out.where("a is not null").select("a", "b", "bundle")
         below = out.where("node is not null").select("node", "rep", "sig")
         if any_large and large is not None:
@@ -428,44 +428,31 @@ def candidates(reps: DataFrame, threshold: float, trees: int, leaf: int, max_dep
         if at is not None:
             dropped(at)
         at = out
-        if level.isEmpty():
+        if not seen["below"] and not (any_large and large is not None):
             break
     if at is not None:
         dropped(at)
     return found.distinct()
 
 
-def _apart(threshold: float):
-    """Rows (bundle, rep, part, sig), sorted by bundle, become the pairs (a, b) of different parts that may match."""
+def left_out(pairs: DataFrame, checked: DataFrame, roots: DataFrame, reps: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame | None:
+    """None if every bundle holds, else the pairs (a, b) of bundles with a pair that isn't among the ``checked`` ones that may join two of their components; in cells like those of a large node.
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole(batches):
-            bundle, rep, part = (whole.column(c).to_numpy() for c in range(3))
-            sig, alive = _matrix(whole.column(3).combine_chunks()), np.arange(len(bundle))
-            for step in range(1, len(bundle)):
-                alive = alive[alive + step < len(bundle)]
-                alive = alive[bundle[alive] == bundle[alive + step]]
-                if not len(alive):
-                    break
-                for at in range(0, len(alive), 1 << 16):
-                    i = alive[at : at + (1 << 16)]
-                    i = i[part[i] != part[i + step]]
-                    i = i[(sig[i] == sig[i + step]).sum(1) >= (threshold - SLACK) * SIGNATURE]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[i + step])), pa.array(np.maximum(rep[i], rep[i + step]))], ["a", "b"])
-
-    return step
-
-
-def left_out(pairs: DataFrame, checked: DataFrame, roots: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of bundles with a pair that isn't among the ``checked`` ones, as far as they aren't of one component already."""
+    Of any two components of a bundle one isn't its largest: rows of the others are compared with
+    all rows of the bundle.
+    """
     bundled = pairs.where("bundle is not null")
-    broken = bundled.join(checked, ["a", "b"], "left_anti").select("bundle").distinct()
-    inside = bundled.join(broken, "bundle", "left_semi")
+    broken, seen = observed(bundled.join(checked, ["a", "b"], "left_anti").select("bundle").distinct(), "broken", n=F.count("*"))
+    if not seen["n"]:
+        return None
+    inside = bundled.join(few(broken), "bundle", "left_semi")
     inside = inside.select("bundle", F.col("a").alias("rep")).unionByName(inside.select("bundle", F.col("b").alias("rep"))).distinct()
     parts = inside.join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left").select("bundle", "rep", F.coalesce("root", "rep").alias("part"))
-    rows = parts.join(reps.select(F.col("digest").alias("rep"), "sig"), "rep").select("bundle", "rep", "part", "sig")
-    return rows.repartition("bundle").sortWithinPartitions("bundle", "rep").mapInArrow(_apart(threshold), "a long, b long").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    rows = written(parts.join(reps.select(F.col("digest").alias("rep"), "sig"), "rep").select(F.col("bundle").alias("group"), "rep", "part", "sig"), "bundles")
+    largest = rows.groupBy("group", "part").count().groupBy("group").agg(F.max_by("part", F.struct("count", "part")).alias("largest"))
+    others = rows.join(few(largest), "group").where("part <> largest").select("group", "rep", "sig")
+    found = _across(others, rows.select("group", "rep", "sig"), threshold, cell_rows).distinct()
+    return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,8 +501,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = written(small, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.count_distinct("u")).first()
+        after, state = observed(small, "edges", n=F.count("*"), one=F.sum(F.xxhash64("u", "v") % 1000003), two=F.sum(F.xxhash64("v", "u") % 998244353))
         dropped(edges)
         edges = after
         if state == before:
@@ -545,8 +531,9 @@ def _grouped(docs: DataFrame, text: str, key: str, threshold: float, trees: int,
     pairs = written(candidates(reps.select(F.col("digest").alias("rep"), "sig"), threshold, trees, leaf, max_depth, node_rows), "candidates")
     checked = _verified(docs, reps, pairs.select("a", "b").distinct(), threshold)
     roots = components(checked)
-    more = written(left_out(pairs, checked, roots, reps, threshold), "left_out")
-    if not more.isEmpty():
+    more = left_out(pairs, checked, roots, reps, threshold)
+    if more is not None:
+        more = written(more, "left_out")
         checked = checked.unionByName(_verified(docs, reps, more, threshold))
         roots = components(checked)
     linked = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "digest")
@@ -554,7 +541,7 @@ def _grouped(docs: DataFrame, text: str, key: str, threshold: float, trees: int,
     ids = sigs.select("digest", "doc_id")
     rows = written(looked_up(ids, "digest", grouped, "n").select("root", "digest", "doc_id").distinct(), "members")
     links = written(checked.select(F.col("a").alias("digest")).unionByName(checked.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count("*").alias("links")), "links")
-    dropped(sigs, reps, pairs, more, grouped)
+    dropped(sigs, reps, pairs, grouped)
     return rows, links
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import dropped, scratch, shared_dir, table, written
 
-__all__ = ["BATCH_BYTES", "BITMAP_BITS", "BROADCAST_IDS", "among", "batched", "bitmap", "bits", "dropped", "few", "free", "held", "looked_up", "only", "scratch", "shared_dir", "table", "without", "written"]
+__all__ = ["BATCH_BYTES", "BITMAP_BITS", "BROADCAST_IDS", "among", "batched", "bitmap", "bits", "dropped", "few", "free", "held", "looked_up", "observed", "only", "scratch", "shared_dir", "table", "without", "written"]
 
 #: Bytes of an Arrow batch. Whole texts go to Python in batches of this size, so that a worker's memory doesn't depend on their length.
 BATCH_BYTES = 4 << 20
@@ -35,6 +35,13 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
+def observed(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a written table, and aggregates of its rows that the same job counts."""
+    seen = Observation()
+    made = written(df.observe(seen, *(c.alias(k) for k, c in facts.items())), name)
+    return made, seen.get
+
+
 def few(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """A table of ids, to be broadcast in a join if it has at most ``limit`` rows; beyond that the join shuffles."""
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids

@@ -154,14 +154,15 @@ def test_sure_signatures_are_verified(spark):
     assert _groups(spark, [(1, one), (2, other), (3, one + " end")]) == [[1, 3]]
 
 
-def test_pairs_that_a_false_pair_stood_for_are_compared(spark):
-    sig = np.zeros((5, nd.SIGNATURE), np.uint16)
+@pytest.mark.parametrize("cell_rows", [2, nd.CELL_ROWS])
+def test_pairs_that_a_false_pair_stood_for_are_compared(spark, cell_rows):
+    sig = np.zeros((7, nd.SIGNATURE), np.uint16)
     sig[4] = 9
-    reps = spark.createDataFrame([(k + 1, bytearray(sig[k].tobytes())) for k in range(5)], "digest long, sig binary")
-    pairs = spark.createDataFrame([(1, 2, 70), (1, 3, 70), (1, 5, 70), (3, 4, 71), (2, 4, None)], "a long, b long, bundle long")
-    checked = spark.createDataFrame([(1, 3), (3, 4)], "a long, b long")
-    found = nd.left_out(pairs, checked, nd.components(checked), reps, nd.THRESHOLD)
-    assert {(r.a, r.b) for r in found.collect()} == {(2, 3)}, "2 and 5 fell off; 5 agrees with none, 4 is of a bundle that holds"
+    reps = spark.createDataFrame([(k + 1, bytearray(sig[k].tobytes())) for k in range(7)], "digest long, sig binary")
+    pairs = spark.createDataFrame([(1, 2, 70), (1, 3, 70), (1, 5, 70), (1, 6, 70), (1, 7, 70), (3, 4, 71), (2, 4, None)], "a long, b long, bundle long")
+    checked = spark.createDataFrame([(1, 3), (3, 4), (1, 6), (1, 7)], "a long, b long")
+    found = nd.left_out(pairs, checked, nd.components(checked), reps, nd.THRESHOLD, cell_rows)
+    assert {(r.a, r.b) for r in found.collect()} == {(2, 3), (2, 6), (2, 7)}, "2 and 5 fell off; 5 agrees with none, 4 is of a bundle that holds"
 
 
 def test_rows_that_share_an_id_go_by_their_text(spark):
