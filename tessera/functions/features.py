@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import PREFIX_CAP, SearchConfig
@@ -35,16 +37,34 @@ def raw_features(token: Column, config: SearchConfig = SearchConfig()) -> Column
     return F.when(size > 0, F.concat(*groups)).otherwise(F.array().cast("array<struct<feature:string,w:double>>"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def unit_features(raw: Column) -> Column:
+    """(feature, w) of raw features, each feature once, with unit length; null where the length is next to nothing."""
+
+    def summed(s: Column) -> Column:
+        name = lambda i: F.get(s, i)["feature"]
+        starts = F.filter(_places(0, F.size(s) - 1), lambda i: ~name(i).eqNullSafe(name(i - 1)))
+        run = lambda b, e: F.aggregate(F.slice(s, b + 1, e - b), F.lit(0.0), lambda total, f: total + f["w"])
+        return _let(starts, lambda p: F.transform(p, lambda b, k: F.struct(name(b).alias("feature"), run(b, F.coalesce(F.get(p, k + 1), F.size(s))).alias("w"))))
+
+    def normed(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, f: total + f["w"] * f["w"]))
+        return _let(norm, lambda n: F.when(n >= 1e-7, F.transform(v, lambda f: F.struct(f["feature"].alias("feature"), (f["w"] / n).alias("w")))))
+
+    return _let(_let(F.sort_array(raw), summed), normed)
+
+
 def vectors(vocabulary: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """(token, feature, w) of a table of distinct tokens, with unit length for each token.
 
-    The table is placed by token once (``distinct`` has done so already): accumulation and norm
-    find each token's features together and need no further exchange.
+    A vector is made within the row of its token: nothing is shuffled, sorted or held for other
+    tokens, and the table stays placed as the vocabulary was.
     """
-    long = vocabulary.select("token", F.inline(raw_features(F.col("token"), config)))
-    summed = long.groupBy("token", "feature").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("token")))
-    return summed.withColumn("norm", norm).where("norm >= 1e-7").select("token", "feature", (F.col("w") / F.col("norm")).alias("w"))
+    return vocabulary.select("token", F.inline(unit_features(raw_features(F.col("token"), config))))
 
 
 def cosines(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ is added is embedded by itself, and what is removed is taken out of them.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,6 @@ from tessera.config import SearchConfig
 from tessera.functions.features import vectors
 from tessera.functions.text import doc_id, short_id, tie, tokens
 
-SPREAD = 64
 #: Columns of ``SearchIndex.docs``.
 DOCS = ("uid", "kid", "tie", "doc_id", "text", "key", "tokens", "n_tokens", "item")
 
@@ -116,14 +114,26 @@ class SearchIndex:
         return items.withColumn(name, uid(self.text, self.key)).join(found, name, "left_semi").drop(name)
 
     def saved(self, path: str) -> SearchIndex:
-        """Written as Parquet and read back, postings in the order of tokens, so that lookups skip row groups."""
+        """Written as Parquet and read back: documents, postings and the vocabulary (or vectors that were given).
+
+        Each task writes the postings of the documents that it reads, in the order of tokens, so that
+        lookups skip pages and nothing is shuffled. They name documents by numbers, which take some
+        13 bits; a short id takes 16 bytes. Vectors are made from the vocabulary as they are read.
+        """
         spark = self.docs.sparkSession
-        self.docs.drop("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
-        done = replace(self, docs=with_doc_id(spark.read.parquet(f"{path}/docs")), postings_table=None, vectors_table=None)
-        tables = {"postings": sorted_postings(postings_of(done.docs)), "vectors": self.vectors_table if self.vectors_table is not None else vectors(done.vocabulary, self.config)}
-        with ThreadPoolExecutor(len(tables)) as pool:  # neither needs the other
-            list(pool.map(lambda name: tables[name].write.mode("overwrite").parquet(f"{path}/{name}"), tables))
-        return replace(done, postings_table=spark.read.parquet(f"{path}/postings"), vectors_table=spark.read.parquet(f"{path}/vectors"))
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        docs = kept(self.docs.drop("doc_id").withColumn("num", F.monotonically_increasing_id()), "docs")
+        numbered = kept(docs.select("num", F.posexplode("tokens").alias("pos", "token")).select("token", "num", "pos").sortWithinPartitions("token", "num"), "postings")
+        postings = numbered.join(docs.select("num", "uid"), "num", "left").select("token", "uid", "pos")
+        if self.vectors_table is not None:
+            made = kept(self.vectors_table, "vectors")
+        else:
+            made = vectors(kept(numbered.select("token").distinct(), "vocabulary").repartition("token"), self.config)
+        return replace(self, docs=with_doc_id(docs), postings_table=postings, vectors_table=made)
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
@@ -131,8 +141,8 @@ def postings_of(docs: DataFrame) -> DataFrame:
 
 
 def sorted_postings(postings: DataFrame) -> DataFrame:
-    """In files that are sorted by token, so that their row groups hold few; a token's postings are spread over ``SPREAD`` tasks at most, however many they are."""
-    return postings.repartition("token", F.pmod(F.xxhash64("uid"), F.lit(SPREAD))).sortWithinPartitions("token")
+    """Each task's postings in the order of tokens, so that pages without a token are skipped; nothing is shuffled."""
+    return postings.sortWithinPartitions("token")
 
 
 def without_documents(postings: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

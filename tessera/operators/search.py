@@ -33,6 +33,8 @@ BROADCAST_TOKENS = 20_000
 PUSHED_TOKENS = 2_000
 #: Up to so many (query, token) or (query, document) are sent to every executor.
 BROADCAST_PAIRS = 300_000
+#: Cosines are counted in bands of this width to find the thresholds of ``heads``.
+BANDS = 1_000
 _PLACE = (1 << 31) - 1
 
 
@@ -112,13 +114,27 @@ def pushed(postings: DataFrame, tokens: list[str]) -> DataFrame:
     return postings.where(F.col("token").isin(tokens))
 
 
-def candidates(index: SearchIndex, ranges: DataFrame) -> DataFrame:
-    """The ranges with what scoring needs of their documents; ``ranges`` are broadcast if they are few."""
-    return index.docs.select("uid", "kid", "tie", "n_tokens", "tokens").join(small(ranges, BROADCAST_PAIRS), "uid")
+def candidates(index: SearchIndex, ranges: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The ranges with what scoring needs of their documents; ``ranges`` are broadcast if they are few.
+
+    With the (query_id, token) of ``pairs`` the ranges of many documents are found again where the
+    documents are read, so that no token list is shuffled; if most documents are no candidates, the
+    shuffle of ``ranges`` is less work.
+    """
+    docs = index.docs.select("uid", "kid", "tie", "n_tokens", "tokens")
+    few = small(ranges, BROADCAST_PAIRS)
+    queries = {query for query, _ in pairs or ()}
+    if few is not ranges or not queries or len(queries) * index.docs.count() > 8 * ranges.count():
+        return docs.join(few, "uid")
+    hits = [(query, [t for q, t in pairs if q == query]) for query in sorted(queries)]
+    asked = docs.sparkSession.createDataFrame(pa.table([pa.array([q for q, _ in hits], pa.string()), pa.array([t for _, t in hits], pa.list_(pa.string()))], names=["query_id", "hits"]))
+    places = F.filter(F.transform("hits", lambda t: F.array_position("tokens", t)), lambda p: p > 0)
+    found = docs.crossJoin(F.broadcast(asked)).withColumn("places", places).where(F.size("places") > 0)
+    return found.select(*docs.columns, "query_id", (F.array_min("places") - 1).cast("int").alias("lo"), (F.array_max("places") - 1).cast("int").alias("hi"))
 
 
-def scored_tokens(index: SearchIndex, terms: DataFrame, cosines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, token, j, cos) of the tokens that count for the j-th token of a query.
+def scored_tokens(index: SearchIndex, terms: DataFrame, cosines: DataFrame, docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, token, j, cos) of the tokens that count for the j-th token of a query; of those in ``only(query_id, token)``.
 
     A token counts for a query where some candidate has it in its range, widened by
     ``window_slack``; elsewhere its cosine is taken as 0, even if it has one.
@@ -126,7 +142,8 @@ def scored_tokens(index: SearchIndex, terms: DataFrame, cosines: DataFrame, docs
     slack = index.config.window_slack
     lo = F.greatest(F.col("lo") - slack, F.lit(0))
     window = F.slice("tokens", lo + 1, F.least(F.col("hi") + slack + 1, F.col("n_tokens")) - lo)
-    inside = docs.select("query_id", F.explode(window).alias("token")).distinct()
+    inside = docs.select("query_id", F.explode(window).alias("token"))
+    inside = (inside if only is None else inside.join(only, ["query_id", "token"], "left_semi")).distinct()
     positive = cosines.where("cos > 0").join(terms.select("query_id", "j", "qtoken"), "qtoken")
     return positive.join(inside, ["query_id", "token"]).select("query_id", "token", "j", "cos")
 
@@ -137,16 +154,22 @@ def by_token(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "token").agg(*(F.max(F.when(F.col("j") == j, digits)).alias(f"c{j}") for j in range(QUERY_TOKENS)))
 
 
-def best_matches(docs: DataFrame, by_token: DataFrame) -> DataFrame:
+def best_matches(docs: DataFrame, by_token: DataFrame, rest: DataFrame | None = None) -> DataFrame:
     """(query_id, uid, kid, tie, n_tokens, matches): for each query token that has one, the best token of the candidate, the first of equal ones.
 
-    ``matches`` holds (j, cos, pos). A cosine of 9 digits and a place fit one number, whose
+    Tokens that ``by_token`` lacks are looked up in ``rest``. ``matches`` holds (j, cos, pos). A cosine of 9 digits and a place fit one number, whose
     maximum is the match, so that a candidate is one row of a hash aggregation.
     """
     each = range(QUERY_TOKENS)
     long = docs.select("query_id", "uid", "kid", "tie", "n_tokens", F.posexplode("tokens").alias("pos", "token"))
     packed = lambda j: F.max(F.shiftleft(F.col(f"c{j}"), 32) + (_PLACE - F.col("pos"))).alias(f"m{j}")
-    best = long.join(small(by_token, BROADCAST_PAIRS), ["query_id", "token"], "left").groupBy("query_id", "uid", "kid", "tie", "n_tokens").agg(*map(packed, each))
+    pair, head = ["query_id", "token"], small(by_token, BROADCAST_PAIRS)
+    there = F.coalesce(*(F.col(f"c{j}") for j in each)).isNotNull()
+    met = long.join(head, pair, "left")
+    if rest is not None:
+        met = met.where(there).unionByName(long.join(head, pair, "left_anti").join(small(rest, BROADCAST_PAIRS), pair, "left"))
+    met = met.where(there | (F.col("pos") == 0))  # the first place, so that every candidate has a row
+    best = met.groupBy("query_id", "uid", "kid", "tie", "n_tokens").agg(*map(packed, each))
     match = lambda j: F.when(F.col(f"m{j}").isNotNull(), F.struct(F.lit(j).alias("j"), (F.shiftright(F.col(f"m{j}"), 32) / 1e9).alias("cos"), (_PLACE - F.col(f"m{j}").bitwiseAND(0xFFFFFFFF)).cast("int").alias("pos")))
     return best.select("query_id", "uid", "kid", "tie", "n_tokens", F.filter(F.array(*map(match, each)), lambda m: m.isNotNull()).alias("matches"))
 
@@ -168,12 +191,17 @@ def length_penalty(n_tokens: Column) -> Column:
     return F.greatest(F.lit(0.5), 1 - 0.1 * F.log10(F.greatest(n_tokens, F.lit(1)).cast("double")))
 
 
+def harmonic(cos: Column, n: Column) -> Column:
+    """Harmonic mean of the cosines of ``n`` query tokens, of which those without a match count as next to 0."""
+    parts = F.aggregate(cos, F.lit(0.0), lambda total, c: total + 1 / F.greatest(c, F.lit(1e-6)))
+    return F.when(n == 1, F.coalesce(F.array_max(cos), F.lit(0.0))).otherwise(n / (parts + (n - F.size(cos)) * 1e6))
+
+
 def scores(matches: DataFrame, terms: DataFrame, config: SearchConfig) -> DataFrame:
     """(query_id, uid, kid, tie, score) of every candidate."""
     joined = matches.join(terms.select("query_id", "n").distinct(), "query_id")
-    n, cos = F.col("n"), F.col("matches.cos")
-    parts = F.aggregate(cos, F.lit(0.0), lambda total, c: total + 1 / F.greatest(c, F.lit(1e-6)))
-    base = F.when(n == 1, F.coalesce(F.array_max(cos), F.lit(0.0))).otherwise(n / (parts + (n - F.size("matches")) * 1e6))
+    n = F.col("n")
+    base = harmonic(F.col("matches.cos"), n)
     near = 1 - config.adjacency_bonus * (1 - proximity(F.array_sort(F.col("matches.pos")), n))
     score = F.least(F.greatest(base * near * length_penalty(F.col("n_tokens")), F.lit(0.0)), F.lit(1.0))
     return joined.select("query_id", "uid", "kid", "tie", F.round(score, 6).alias("score"))
@@ -205,18 +233,76 @@ def _found(index: SearchIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame
     asked = queries.select("query_id", F.array_join(query_tokens(F.col("query"), config), "\0").alias("_text")).where("_text <> ''")
     terms, few = _terms(index, asked)
     cosines = written(token_cosines(index, terms, few is not None), "cosines")
-    if few is not None and len({q for _, q in few}) * config.max_results <= PUSHED_TOKENS:
+    local, pairs = few is not None and len({q for _, q in few}) * config.max_results <= PUSHED_TOKENS, None
+    if local:
         pairs = _best_pairs(index, few, cosines)
         hits = asked.sparkSession.createDataFrame(pa.table([pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ((), ()))], names=["query_id", "token"]))
         ranges = _ranges(pushed(index.postings, sorted({t for _, t in pairs})), F.broadcast(hits))
     else:
         ranges = candidate_ranges(index, terms, best_tokens(index, terms, cosines, fill=_short_of_tokens(terms, cosines, config.max_results)))
-    docs = candidates(index, written(ranges, "candidates"))
-    words = written(by_token(scored_tokens(index, terms, cosines, docs)), "words")
-    best = ranked(scores(best_matches(docs, words), F.broadcast(terms) if few is not None else terms, config), config.max_results)
+    docs = candidates(index, written(ranges, "candidates"), pairs)
+    terms = F.broadcast(terms) if few is not None else terms
+    floors = heads(terms, cosines) if local else {}
+    if any(floors.values()):
+        scored = _scored_in_parts(index, terms, cosines, docs, floors)
+    else:
+        scored = scores(best_matches(docs, written(by_token(scored_tokens(index, terms, cosines, docs)), "words")), terms, config)
+    best = ranked(scored, config.max_results)
     return asked, best.withColumnRenamed("query_id", "_text"), few is not None and LOCAL_QUERIES * config.max_results <= BROADCAST_PAIRS
 
 
+def heads(terms: DataFrame, cosines: DataFrame) -> dict[str, float]:
+    """For each of few query tokens the cosine from which on its vocabulary tokens can be sent to every executor; 0 if all can."""
+    asked = terms.groupBy("qtoken").agg(F.count("*").alias("times")).collect()
+    room = BROADCAST_PAIRS // max(sum(r.times for r in asked), 1)
+    bands = {r.qtoken: {} for r in asked}
+    for r in cosines.where("cos > 0").groupBy("qtoken", F.floor(F.col("cos") * BANDS).alias("band")).count().collect():
+        bands[r.qtoken][r.band] = r["count"]
+    floors = {}
+    for token, counts in bands.items():
+        floors[token], total = 0.0, 0
+        for band in sorted(counts, reverse=True):
+            total += counts[band]
+            if total > room:
+                floors[token] = (band + 1) / BANDS
+                break
+    return floors
+
+
+def _scored_in_parts(index: SearchIndex, terms: DataFrame, cosines: DataFrame, docs: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """``scores`` of all candidates that can be among the results, where the tokens with a cosine are too many to broadcast.
+
+    The tokens nearest to the query tokens go to every executor. A candidate that has one of them for
+    each query token has its final score, since all others are less near. The other candidates' scores
+    are bounded by the thresholds; only where the bound reaches the last of the best ``max_results``
+    final scores, all other tokens are looked up too.
+    """
+    config, spark = index.config, docs.sparkSession
+    least = F.broadcast(spark.createDataFrame(pa.table([pa.array(list(floors), pa.string()), pa.array(list(floors.values()), pa.float64())], names=["qtoken", "floor"])))
+    pair = ["query_id", "token"]
+    near = cosines.where("cos > 0").join(least, "qtoken").where("cos >= floor").join(terms.select("query_id", "qtoken"), "qtoken")
+    head = F.broadcast(written(near.select(*pair).distinct(), "head"))
+    words = written(by_token(scored_tokens(index, terms, cosines.join(F.broadcast(head.select("token").distinct()), "token", "left_semi"), docs, head)), "words")
+    limits = F.broadcast(terms.join(least, "qtoken").groupBy("query_id", "n").agg(F.array_sort(F.collect_list(F.struct("j", "floor"))).alias("floors")))
+    of = lambda f: F.filter("matches", lambda m: (m["j"] == f["j"]) & (m["cos"] >= f["floor"]))
+    first = best_matches(docs, words).join(limits, "query_id")
+    first = first.withColumn("final", F.forall("floors", lambda f: (f["floor"] <= 0) | (F.size(of(f)) > 0)))
+    at_most = F.transform(F.filter("floors", lambda f: (f["floor"] > 0) | (F.size(of(f)) > 0)), lambda f: F.coalesce(F.array_max(F.transform(of(f), lambda m: m["cos"])), f["floor"]))
+    bound = F.least(harmonic(at_most, F.col("n")) * length_penalty(F.col("n_tokens")), F.lit(1.0)) if 0 <= config.adjacency_bonus <= 1 else F.lit(1.0)
+    first = written(first.withColumn("bound", F.when(~F.col("final"), bound)).drop("floors", "n"), "matches")
+    done = scores(first.where("final"), terms, config)
+    last = ranked(done, config.max_results).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("last")).where(F.col("found") >= config.max_results)
+    lasts = [(r.query_id, r.last) for r in last.collect()]
+    known = F.broadcast(spark.createDataFrame(lasts, "query_id string, last double"))
+    left = written(first.where("not final").join(known, "query_id", "left").where("last is null or bound + 2e-6 >= last").select("query_id", "uid"), "open")
+    if left.isEmpty():
+        return done
+    open_ = docs.join(small(left, BROADCAST_PAIRS), ["query_id", "uid"], "left_semi")
+    further = small(written(open_.select("query_id", F.explode("tokens").alias("token")).join(head, pair, "left_anti").distinct(), "further"), BROADCAST_PAIRS)
+    rest = written(by_token(scored_tokens(index, terms, cosines, docs, further)), "rest")
+    return done.unionByName(scores(best_matches(open_, words, rest), terms, config))
+
+
 def find(index: SearchIndex, queries: DataFrame) -> DataFrame:
     """(query_id, rank, doc_id, tokens, score) for all ``queries(query_id, query)``; see the module.
 
