@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tessera.operators.search import best_matches, best_tokens, by_token, candid
 from tessera.sources.files import file_tree
 from tessera.sources.lines import keyed_lines, read_lines
 from tessera.sources.snapshot import export, restore
-from tessera.sources.tables import fresh_path, table
+from tessera.sources.tables import fresh_path, table, written
 from tessera.streaming.live import LiveIndex, search_stream, without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +33,8 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def asked(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(texts.items()), "query_id string, query string")
+    """Queries as rows of the plan, for which no Python worker starts."""
+    return spark.createDataFrame(pa.table([pa.array(c, pa.string()) for c in zip(*texts.items())], names=["query_id", "query"]))
 
 
 def parts(spark: SparkSession, sf_dir: str, **settings) -> SearchIndex:
@@ -113,49 +116,73 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosines(v, v).select("a", "b", F.round("cos", 9).alias("cos"))
 
 
-def _steps(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> dict[str, DataFrame]:
-    index = parts(spark, sf_dir)
-    terms = query_terms(asked(spark, texts), index.config)
-    near = token_cosines(index, terms)
-    best = best_tokens(index, terms, near)
-    ranges = candidate_ranges(index, terms, best)
-    docs = candidates(index, ranges)
-    scored = scored_tokens(index, terms, near, docs)
-    keys = index.docs.select("uid", "key")
-    return {"terms": terms, "best": best, "ranges": ranges.join(keys, "uid"), "scored": scored.join(terms.select("query_id", "j", "qtoken"), ["query_id", "j"]), "matches": best_matches(docs, by_token(scored)), "keys": keys}
+class _Steps:
+    """The steps of a search over parts; each is made once, when it is first asked for, and what later steps read again is written."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> None:
+        self.index = parts(spark, sf_dir).saved(fresh_path(spark, "index"))
+        self.terms = F.broadcast(query_terms(asked(spark, texts), self.index.config))
+        self.keys = self.index.docs.select("uid", "key")
+
+    @cached_property
+    def near(self) -> DataFrame:
+        return written(token_cosines(self.index, self.terms), "cosines")
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return written(best_tokens(self.index, self.terms, self.near), "best")
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return written(candidate_ranges(self.index, self.terms, self.best), "candidates")
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        pairs = self.terms.join(self.best, "qtoken").select("query_id", "token").distinct().collect()
+        return candidates(self.index, self.ranges, sorted((r.query_id, r.token) for r in pairs))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return written(scored_tokens(self.index, self.terms, self.near, self.docs), "scored")
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return best_matches(self.docs, by_token(self.scored))
 
 
 @query
 def vocabulary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best vocabulary tokens of each query token."""
-    return _steps(spark, sf_dir, TYPOS)["best"].select("qtoken", "token", "cos", "rank")
+    return _Steps(spark, sf_dir, TYPOS).best.select("qtoken", "token", "cos", "rank")
 
 
 @query
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with the range of places of their hits."""
-    return _steps(spark, sf_dir, TYPOS)["ranges"].select("query_id", "key", "lo", "hi")
+    s = _Steps(spark, sf_dir, TYPOS)
+    return s.ranges.join(s.keys, "uid").select("query_id", "key", "lo", "hi")
 
 
 @query
 def scored_window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that count for a query, with their cosines."""
-    return _steps(spark, sf_dir, TYPOS)["scored"].select("query_id", "token", "qtoken", "cos")
+    s = _Steps(spark, sf_dir, TYPOS)
+    return s.scored.join(s.terms.select("query_id", "j", "qtoken"), ["query_id", "j"]).select("query_id", "token", "qtoken", "cos")
 
 
 @query
 def best_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best token of each candidate for each query token."""
-    s = _steps(spark, sf_dir, TYPOS)
-    matches = s["matches"].select("query_id", "uid", F.inline("matches")).join(s["terms"].select("query_id", "j", "qtoken"), ["query_id", "j"])
-    return matches.join(s["keys"], "uid").select("query_id", "key", "qtoken", "cos", "pos")
+    s = _Steps(spark, sf_dir, TYPOS)
+    matches = s.matches.join(s.keys, "uid").select("query_id", "key", F.inline("matches"))
+    return matches.join(s.terms.select("query_id", "j", "qtoken"), ["query_id", "j"]).select("query_id", "key", "qtoken", "cos", "pos")
 
 
 @query
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all candidates, before any ranking."""
-    s = _steps(spark, sf_dir, WORDS)
-    return scores(s["matches"], s["terms"], SearchConfig()).join(s["keys"], "uid").select("query_id", "key", "score")
+    s = _Steps(spark, sf_dir, WORDS)
+    return scores(s.matches, s.terms, SearchConfig()).join(s.keys, "uid").select("query_id", "key", "score")
 
 
 @query
